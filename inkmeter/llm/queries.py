@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import secrets, sharding
+from . import secrets, sharding, warc
 
-_MODULES = (sharding, secrets)
+_MODULES = (warc, sharding, secrets)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
