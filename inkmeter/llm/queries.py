@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import langid, secrets, sharding, warc
+from . import langid, secrets, sharding, simhash, warc
 
-_MODULES = (warc, sharding, langid, secrets)
+_MODULES = (warc, simhash, sharding, langid, secrets)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
