@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import langid, secrets, sharding, simhash, topk, warc
+from . import ann, langid, secrets, sharding, simhash, topk, warc
 
-_MODULES = (warc, simhash, sharding, langid, secrets, topk)
+_MODULES = (warc, simhash, ann, sharding, langid, secrets, topk)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
