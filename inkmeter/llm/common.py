@@ -65,11 +65,12 @@ def staged_bytes(staged: DataFrame) -> int:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
 
 
-def broadcast_if_small(staged: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
-    """A broadcast hint for a staged table whose measured rows and bytes are within the bounds, else the table."""
+def broadcast_if_small(side: DataFrame, staged: DataFrame | None = None, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """A broadcast hint if the staged table (or the one that ``side`` projects) is measured within the bounds."""
+    staged = side if staged is None else staged
     if staged_bytes(staged) <= size and staged.count() <= rows:
-        return F.broadcast(staged)
-    return staged
+        return F.broadcast(side)
+    return side
 
 
 def text_or_empty(name: str) -> Column:
