@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import ann, langid, packing, secrets, sharding, simhash, substrings, topk, warc
+from . import ann, langid, mixing, packing, secrets, sharding, simhash, substrings, topk, warc
 
-_MODULES = (warc, simhash, ann, sharding, substrings, packing, langid, secrets, topk)
+_MODULES = (warc, simhash, ann, mixing, sharding, substrings, packing, langid, secrets, topk)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
