@@ -115,12 +115,14 @@ def copies(docs: DataFrame, budget_share: float | None = 1.0, target_entropy: fl
     last = slim.join(cut, ["source", "block"]).withColumn("upto", F.col("start") + running).filter("upto <= rest").groupBy("source", "block").agg(
         F.max(F.struct("place", "id")).alias("last"))
     rules = stage(rules.join(last, ["source", "block"], "left").select(
-        F.col("source").alias("_source"), F.col("block").alias("_block"), F.col("weight").alias("_weight"), "epochs", (F.col("end") <= F.col("rest")).alias("whole"), "last"), "mix-rules")
-    own = docs.withColumns({"_place": place, "_source_key": source, "_tokens": tokens_of(text_col)})
-    joined = own.join(broadcast_if_small(rules), (F.col("_source_key") == F.col("_source")) & (block(F.col("_place")) == F.col("_block")))
-    within = F.coalesce(F.struct(F.col("_place").alias("place"), F.col(id_col).cast("long").alias("id")) <= F.col("last"), F.lit(False))
-    extra = (F.col("whole") | within).cast("long")
-    return joined.withColumn("_copies", (F.col("epochs") + extra).cast("long")).select(*[F.col(f"`{c}`") for c in docs.columns], "_tokens", "_weight", "_copies")
+        F.struct("source", "block").alias("_mix_key"), F.struct("weight", "epochs", ((F.col("rest") > 0) & (F.col("end") <= F.col("rest"))).alias("whole"), "last").alias("_mix_rule")), "mix-rules")
+    own = docs.withColumn("_mix_own", F.struct(source.alias("source"), block(place).alias("block"), place.alias("place"), tokens_of(text_col).alias("tokens")))
+    joined = own.join(broadcast_if_small(rules), (F.col("_mix_own.source") == F.col("_mix_key.source")) & (F.col("_mix_own.block") == F.col("_mix_key.block")))
+    within = F.coalesce(F.struct(F.col("_mix_own.place").alias("place"), F.col(id_col).cast("long").alias("id")) <= F.col("_mix_rule.last"), F.lit(False))
+    extra = (F.col("_mix_rule.whole") | within).cast("long")
+    return joined.select(
+        *[F.col(f"`{c}`") for c in docs.columns], F.col("_mix_own.tokens").alias("_tokens"), F.col("_mix_rule.weight").alias("_weight"),
+        (F.col("_mix_rule.epochs") + extra).cast("long").alias("_copies"))
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:

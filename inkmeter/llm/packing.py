@@ -79,9 +79,10 @@ class Words:
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of the text, without special tokens."""
-        if not self._PLAIN.fullmatch(text) or any(s in text for s in self.special) or not unicodedata.is_normalized("NFC", text):
+        lowered = text.lower()  # may spell a special token that the text did not
+        if not self._PLAIN.fullmatch(text) or any(s in lowered for s in self.special) or not unicodedata.is_normalized("NFC", text):
             return self._encode(self.tokenizer, [text])[0]
-        words = text.lower().split()
+        words = lowered.split()
         try:
             return b"".join(map(self.known.__getitem__, words))
         except KeyError:
