@@ -33,6 +33,8 @@ FREE_PENALTY = 100
 STRIDE = 256
 #: Ids after which a block is closed; each block is packed by itself.
 BLOCK_IDS = 1 << 20
+#: Characters whose words are looked up together.
+CHUNK_CHARS = 1 << 21
 #: Words whose ids a worker remembers, at most, in each of two generations.
 CACHE_WORDS = 600_000
 
@@ -48,6 +50,8 @@ class Words:
     # white space that both sides see alike, and Latin letters whose lower case needs no context
     _PLAIN = re.compile("[\t\n\v\f\r -~¡-ɏ‐-‧″-›]*")
 
+    _SIGNS = ".,!?;:&$#%*"
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers
@@ -58,36 +62,42 @@ class Words:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.stops = np.array(sorted({i for x in (".", "!", "?", "...", "\".", ".\"") for i in self.tokenizer.encode(x, add_special_tokens=False).ids}), np.uint32)
+        self.is_stop = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.is_stop[[i for x in (".", "!", "?", "...", "\".", ".\"") for i in self.tokenizer.encode(x, add_special_tokens=False).ids]] = True
 
     @staticmethod
     def _encode(tokenizer, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: set[str]) -> None:
-        """Takes words over from the older generation, or has them encoded."""
-        if len(self.known) + len(words) > CACHE_WORDS:
+    def _learn(self, words: list[str]) -> None:
+        """Takes words over from the older generation, or has them encoded; letters and the signs behind them apart."""
+        new = set(words).difference(self.known)
+        if len(self.known) + 2 * len(new) > CACHE_WORDS:
             self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        new = []
-        for w in words:
-            if w in older:
-                known[w] = older[w]
-            elif w not in known:
-                new.append(w)
-        known.update(zip(new, self._encode(self.bare, new), strict=True))
-
-    def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids of the text, without special tokens."""
-        lowered = text.lower()  # may spell a special token that the text did not
-        if not self._PLAIN.fullmatch(text) or any(s in lowered for s in self.special) or not unicodedata.is_normalized("NFC", text):
-            return self._encode(self.tokenizer, [text])[0]
-        words = lowered.split()
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            self._learn(set(words))
-            return b"".join(map(self.known.__getitem__, words))
+            new = set(words)
+        if self.older:
+            kept = {w: self.older[w] for w in new if w in self.older}
+            self.known.update(kept)
+            new.difference_update(kept)
+        ended = {w: core for w in new if len(core := w.rstrip(self._SIGNS)) < len(w) and core.isalpha()}
+        new.difference_update(ended)
+        new.update(ended.values())
+        new.update(w[len(core) :] for w, core in ended.items())
+        listed = list(new.difference(self.known))
+        known = self.known
+        known.update(zip(listed, self._encode(self.bare, listed), strict=True))
+        known.update({w: known[core] + known[w[len(core) :]] for w, core in ended.items()})
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text, without special tokens."""
+        out: list = [None] * len(texts)
+        for at, text in enumerate(texts):
+            lowered = text.lower()  # may spell a special token that the text did not
+            if self._PLAIN.fullmatch(text) and not any(s in lowered for s in self.special) and unicodedata.is_normalized("NFC", text):
+                out[at] = lowered.split()
+        self._learn([w for words in out if words is not None for w in words])
+        find, join = self.known.__getitem__, b"".join
+        return [join(map(find, words)) if words is not None else self._encode(self.tokenizer, [text])[0] for words, text in zip(out, texts, strict=True)]
 
 
 _WORDS: dict[str, Words] = {}
@@ -100,21 +110,23 @@ def words_of(path: str) -> Words:
     return _WORDS[path]
 
 
-def cut_positions(lengths: np.ndarray, stops: np.ndarray, most: int = MOST) -> tuple[np.ndarray, np.ndarray]:
+def cut_positions(lengths: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where the stream may be cut, ascending from 0 to its end, and what a cut there costs.
 
     ``lengths`` are ids per document, ``stops`` the positions after sentence ends.
     """
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
-    soft = np.setdiff1d(stops[(stops > 0) & (stops < total)], ends)
-    marks = np.unique(np.concatenate([[0], ends, soft]))
+    kind = np.zeros(total + 1, np.int8)  # 1 sentence, 2 document, 3 inside a long sentence
+    kind[stops[stops < total]] = 1
+    kind[ends] = 2
+    kind[0] = 2
+    marks = np.flatnonzero(kind)
     gaps = np.flatnonzero(np.diff(marks) > STRIDE)
-    free = [np.arange(marks[g] + STRIDE, marks[g + 1], STRIDE) for g in gaps]
-    at = np.unique(np.concatenate([marks, *free])).astype(np.int64)
-    cost = np.full(len(at), FREE_PENALTY, np.int64)
-    cost[np.searchsorted(at, soft)] = SENTENCE_PENALTY
-    cost[np.searchsorted(at, np.concatenate([[0], ends]))] = 0
+    for start, end in zip(marks[gaps].tolist(), marks[gaps + 1].tolist(), strict=True):
+        kind[start + STRIDE : end : STRIDE] = 3
+    at = np.flatnonzero(kind)
+    cost = np.array([0, SENTENCE_PENALTY, 0, FREE_PENALTY], np.int64)[kind[at]]
     return at, cost
 
 
@@ -160,12 +172,12 @@ def plan_cuts(at: np.ndarray, penalty: np.ndarray, most: int = MOST) -> np.ndarr
     return np.array(cuts[::-1], np.int64)
 
 
-def pack_block(ids: list[bytes], stop_ids: np.ndarray, most: int = MOST) -> list[tuple[int, int, int, int, int, int]]:
-    """Pieces (document, start, length, crc32, sequence, offset) of documents given as id bytes, in order."""
+def pack_block(ids: list[bytes], is_stop: np.ndarray, most: int = MOST) -> list[tuple[int, int, int, int, int, int]]:
+    """Pieces (document, start, length, crc32, sequence, offset) of documents given as id bytes, in order; ``is_stop`` by id."""
     lengths = np.array([len(x) // 4 for x in ids], np.int64)
     stream = b"".join(ids)
     numbers = np.frombuffer(stream, "<u4")
-    at, penalty = cut_positions(lengths, np.flatnonzero(np.isin(numbers, stop_ids)) + 1, most)
+    at, penalty = cut_positions(lengths, np.flatnonzero(is_stop[numbers]) + 1)
     cuts = plan_cuts(at, penalty, most)
     ends = np.cumsum(lengths)
     bounds = np.unique(np.concatenate([[0], cuts, ends]))
@@ -203,7 +215,7 @@ def pack(docs: DataFrame, tokenizer_path: str, most: int = MOST, id_col: str = "
 
         def flush() -> pa.RecordBatch:
             nonlocal first, held
-            pieces = pack_block(ids, words.stops, most)
+            pieces = pack_block(ids, words.is_stop, most)
             doc, start, length, crc, seq, offset = zip(*pieces, strict=True)
             out = pa.RecordBatch.from_arrays([
                 pa.array([doc_ids[d] for d in doc], pa.int64()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()),
@@ -214,14 +226,25 @@ def pack(docs: DataFrame, tokenizer_path: str, most: int = MOST, id_col: str = "
             held = 0
             return out
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                own = words.ids(text.as_py()) + end
-                doc_ids.append(doc_id.as_py())
-                ids.append(own)
-                held += len(own) // 4
+        def take(texts: list[str], of: list[int | None]) -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            for doc_id, own in zip(of, words.ids(texts), strict=True):
+                doc_ids.append(doc_id)
+                ids.append(own + end)
+                held += len(own) // 4 + 1
                 if held >= block_ids:
                     yield flush()
+
+        for batch in batches:
+            texts, of, chars = [], [], 0
+            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+                texts.append(text.as_py())
+                of.append(doc_id.as_py())
+                chars += len(texts[-1])
+                if chars >= CHUNK_CHARS:
+                    yield from take(texts, of)
+                    texts, of, chars = [], [], 0
+            yield from take(texts, of)
         if held:
             yield flush()
 

@@ -62,10 +62,20 @@ def test_word_memory_equals_whole_text_encoding():
     words = packing.words_of(packing.tokenizer_file())
     rnd = random.Random(1)
     texts = ["Straße ÉCOLE naïve", "İstanbul ŞİŞ", "a b c", "<|endoftext|> x", "<|ENDOFTEXT|>", "it's don't WE'LL 's", "12ab34 $%^ a..b", "é é", "ﬁ ſ Å", "日本 語", "x\x1cy\x85z",
-             "A" * 5000, "‘quoted’ “text” – dash …", "\t\x0b\x0c\r\n", "a\u0000b", "ǅ Ǆ ŉ ǰ"]
+             "A" * 5000, "‘quoted’ “text” – dash …", "\t\x0b\x0c\r\n", "a\u0000b", "ǅ Ǆ ŉ ǰ", "end. end! end.. l'. a'. it's. x&&& 7. .", "word... word.,;:!?"]
     texts += ["".join(rnd.choice("aAbZ '.,!\n\tÀéß0129-_<|>“”") for _ in range(rnd.randint(0, 60))) for _ in range(3000)]
     for text, ids in zip(texts, direct_ids(texts), strict=True):
-        assert list(np.frombuffer(words.ids(text), "<u4")) == ids[:-1], text
+        assert list(np.frombuffer(words.ids([text])[0], "<u4")) == ids[:-1], text
+    for own, ids in zip(words.ids(texts), direct_ids(texts), strict=True):
+        assert list(np.frombuffer(own, "<u4")) == ids[:-1]
+
+
+def test_forgotten_words_are_learnt_again(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 40)
+    words = packing.Words(packing.tokenizer_file())
+    texts = [" ".join(f"w{chr(97 + i % 26)}{chr(97 + j)}." for j in range(9)) for i in range(60)]
+    for text, ids in zip(texts, direct_ids(texts), strict=True):
+        assert list(np.frombuffer(words.ids([text])[0], "<u4")) == ids[:-1]
 
 
 def brute_cost(at, penalty, most):
