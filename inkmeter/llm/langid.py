@@ -173,8 +173,8 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", pred_col: str
         out = [model.predict(counts_of(t)) if has_letter(t) else (UNDETERMINED, 0.0) for t in texts]
         return pd.DataFrame(out, columns=["lang", "score"])
 
-    return docs.withColumn("_guess", guess(text_or_empty(text_col))).withColumns(
-        {pred_col: F.col("_guess.lang"), score_col: F.col("_guess.score")}).drop("_guess")
+    return docs.withColumn("_ink_guess", guess(text_or_empty(text_col))).withColumns(
+        {pred_col: F.col("_ink_guess.lang"), score_col: F.col("_ink_guess.score")}).drop("_ink_guess")
 
 
 def held_out(id_col: str = "doc_id"):
@@ -187,6 +187,19 @@ def fit_on_training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return fit(rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")))
 
 
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """Rows whose language can be told, with ``lang_col`` set to it; the columns stay.
+
+    Null texts and texts without a letter go. If no row is labelled there is nothing to learn: texts with
+    letters stay as they are.
+    """
+    model = fit_on_training_rows(docs, id_col, text_col, lang_col)
+    if not model.langs:
+        return docs.filter(F.coalesce(F.col(text_col), F.lit("")).rlike(r"\p{L}"))
+    found = predict(docs, model, text_col, "_ink_lang", "_ink_score").filter(F.col("_ink_lang") != UNDETERMINED)
+    return found.select(*[F.col("_ink_lang").alias(c) if c == lang_col else F.col(f"`{c}`") for c in docs.columns])
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     model = fit_on_training_rows(docs)
