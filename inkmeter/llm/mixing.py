@@ -5,6 +5,7 @@ target entropy, or no source is repeated more often than a limit; the larger exp
 holds. Each source's token budget is then spent epoch by epoch on a permutation of its documents: blocks
 in random order, documents in random order within a block. Whole epochs need no order, and of the last,
 partial one only the block in which the budget ends is sorted, so a hot source never meets in one task.
+What the documents meet is one rule a source: its epochs, and the place in its order where the budget ends.
 """
 
 from __future__ import annotations
@@ -18,7 +19,9 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, load, stage, text_or_empty
 
-BLOCK_ROWS = 65_536
+#: Rows of a block, about; beyond MOST_BLOCKS blocks they grow instead.
+BLOCK_ROWS = 4_096
+MOST_BLOCKS = 1 << 20
 SEED = 7
 #: Entropy of the mix as a part of the largest possible, and epochs of the most repeated source, at most.
 TARGET_ENTROPY = 0.97
@@ -94,7 +97,7 @@ def copies(docs: DataFrame, budget_share: float | None = 1.0, target_entropy: fl
     source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
     place = F.xxhash64(F.lit(seed), F.col(id_col))
     slim = stage(docs.select(source.alias("source"), F.col(id_col).cast("long").alias("id"), place.alias("place"), tokens_of(text_col).alias("tokens")), "source-tokens")
-    n_blocks = max(1, math.ceil(slim.count() / block_rows))
+    n_blocks = min(MOST_BLOCKS, max(1, math.ceil(slim.count() / block_rows)))
     block = lambda c: F.pmod(F.shiftright(c, 8), F.lit(n_blocks))
     slim = slim.withColumn("block", block(F.col("place")))
     blocks = stage(slim.groupBy("source", "block").agg(F.sum("tokens").alias("tokens")), "mix-blocks")
@@ -106,23 +109,26 @@ def copies(docs: DataFrame, budget_share: float | None = 1.0, target_entropy: fl
     budgets = totals.withColumn("weight", share).withColumn(
         "epochs", F.when(F.col("tokens") > 0, F.greatest(F.lit(least), F.floor(F.col("weight") * mix.budget / F.col("tokens") + 1e-9))).otherwise(least)
     ).withColumn("rest", F.greatest(F.lit(0.0), F.floor(F.col("weight") * mix.budget + 1e-6) - F.col("epochs") * F.col("tokens"))).select("source", "weight", "epochs", "rest")
-    turn = F.xxhash64(F.lit(seed), "source", "epochs", "block")
-    ordered = blocks.join(budgets, "source").withColumn("turn", turn)
+    turn_of = lambda source, epochs, block: F.xxhash64(F.lit(seed), source, epochs, block)
+    ordered = blocks.join(budgets, "source").withColumn("turn", turn_of(F.col("source"), F.col("epochs"), F.col("block")))
     end = F.sum("tokens").over(W.partitionBy("source").orderBy("turn", "block").rowsBetween(W.unboundedPreceding, 0))
-    rules = stage(ordered.withColumn("end", end).withColumn("start", F.col("end") - F.col("tokens")), "mix-order")
-    cut = rules.filter("start < rest AND rest < end").select("source", "block", "start", "rest")  # one block a source
+    placed = ordered.withColumn("end", end).withColumn("start", F.col("end") - F.col("tokens"))
+    cut = stage(placed.filter("rest > 0 AND start <= rest AND rest < end").select("source", "block", "turn", "start", "rest"), "mix-cuts")  # one block a source
     running = F.sum("tokens").over(W.partitionBy("source", "block").orderBy("place", "id"))  # a range frame: equal ids together
-    last = slim.join(cut, ["source", "block"]).withColumn("upto", F.col("start") + running).filter("upto <= rest").groupBy("source", "block").agg(
+    last = slim.join(broadcast_if_small(cut), ["source", "block"]).withColumn("upto", F.col("start") + running).filter("upto <= rest").groupBy("source").agg(
         F.max(F.struct("place", "id")).alias("last"))
-    rules = stage(rules.join(last, ["source", "block"], "left").select(
-        F.struct("source", "block").alias("_mix_key"), F.struct("weight", "epochs", ((F.col("rest") > 0) & (F.col("end") <= F.col("rest"))).alias("whole"), "last").alias("_mix_rule")), "mix-rules")
+    rules = budgets.join(cut.select("source", "turn", "block"), "source", "left").join(last, "source", "left")
+    rules = stage(rules.select(F.col("source").alias("_mix_source"), F.struct("weight", "epochs", "turn", "block", "last").alias("_mix_rule")), "mix-rules")
     own = docs.withColumn("_mix_own", F.struct(source.alias("source"), block(place).alias("block"), place.alias("place"), tokens_of(text_col).alias("tokens")))
-    joined = own.join(broadcast_if_small(rules), (F.col("_mix_own.source") == F.col("_mix_key.source")) & (F.col("_mix_own.block") == F.col("_mix_key.block")))
-    within = F.coalesce(F.struct(F.col("_mix_own.place").alias("place"), F.col(id_col).cast("long").alias("id")) <= F.col("_mix_rule.last"), F.lit(False))
-    extra = (F.col("_mix_rule.whole") | within).cast("long")
+    joined = own.join(broadcast_if_small(rules), F.col("_mix_own.source") == F.col("_mix_source"))
+    rule, mine = (lambda c: F.col(f"_mix_rule.{c}")), (lambda c: F.col(f"_mix_own.{c}"))
+    turn = turn_of(mine("source"), rule("epochs"), mine("block"))
+    at_cut = (turn == rule("turn")) & (mine("block") == rule("block"))
+    before = (turn < rule("turn")) | ((turn == rule("turn")) & (mine("block") < rule("block")))
+    within = at_cut & (F.struct(mine("place").alias("place"), F.col(id_col).cast("long").alias("id")) <= rule("last"))
+    extra = F.coalesce(before | within, F.lit(False)).cast("long")
     return joined.select(
-        *[F.col(f"`{c}`") for c in docs.columns], F.col("_mix_own.tokens").alias("_tokens"), F.col("_mix_rule.weight").alias("_weight"),
-        (F.col("_mix_rule.epochs") + extra).cast("long").alias("_copies"))
+        *[F.col(f"`{c}`") for c in docs.columns], mine("tokens").alias("_tokens"), rule("weight").alias("_weight"), (rule("epochs") + extra).cast("long").alias("_copies"))
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
