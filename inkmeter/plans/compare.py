@@ -7,8 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkmeter.functions.distance import rate, seq_align, seq_distance
-from inkmeter.functions.unicode_text import graphemes, words_normalized
+from inkmeter.functions.distance import align, align_words, cer, rate, wer
 from inkmeter.operators import aggregate, pairing
 from inkmeter.sinks import html
 from inkmeter.sinks.files import report_json, write_file, write_rows
@@ -21,18 +20,15 @@ def measure(pairs: DataFrame, gt: str = "gt_text", ocr: str = "ocr_text", alignm
     With ``alignments`` also ``c_align`` and ``w_align``; the distances are then counted from them, so that the
     matrix is computed once.
     """
-    tokens = pairs.withColumns({
-        "_c": F.struct(graphemes(gt).alias("g"), graphemes(ocr).alias("o")),
-        "_w": F.struct(words_normalized(gt).alias("g"), words_normalized(ocr).alias("o"))})
     if alignments:
-        tokens = tokens.withColumns({"c_align": seq_align("_c.g", "_c.o"), "w_align": seq_align("_w.g", "_w.o")})
-        found = lambda a: F.size(F.filter(a, lambda x: ~x["gt"].eqNullSafe(x["ocr"])))
-        c, w = found("c_align"), found("w_align")
+        placed = pairs.withColumns({"c_align": align(gt, ocr), "w_align": align_words(gt, ocr)})
+        errors = lambda a: F.size(F.filter(a, lambda x: ~x["gt"].eqNullSafe(x["ocr"])))
+        length = lambda a: F.size(F.filter(a, lambda x: x["gt"].isNotNull()))
+        counted = placed.withColumns({"c_dist": errors("c_align"), "n_characters": length("c_align"), "w_dist": errors("w_align"), "n_words": length("w_align")})
     else:
-        c, w = seq_distance("_c.g", "_c.o"), seq_distance("_w.g", "_w.o")
-    counted = tokens.withColumns({"c_dist": c, "n_characters": F.size("_c.g"), "w_dist": w, "n_words": F.size("_w.g")})
-    return counted.withColumns({
-        "cer": rate(F.col("c_dist"), F.col("n_characters")), "wer": rate(F.col("w_dist"), F.col("n_words"))}).drop("_c", "_w")
+        found = pairs.withColumns({"_c": cer(gt, ocr), "_w": wer(gt, ocr)})
+        counted = found.withColumns({"c_dist": F.col("_c.d"), "n_characters": F.col("_c.n"), "w_dist": F.col("_w.d"), "n_words": F.col("_w.n")}).drop("_c", "_w")
+    return counted.withColumns({"cer": rate(F.col("c_dist"), F.col("n_characters")), "wer": rate(F.col("w_dist"), F.col("n_words"))})
 
 
 def render(measured: DataFrame, metrics: bool = True, differences: bool = False) -> DataFrame:

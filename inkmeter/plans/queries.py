@@ -52,8 +52,12 @@ def noisy(text: Column, number: Column) -> Column:
 def lines_of(text: Column) -> Column:
     """Array of lines of twelve words, the whole text."""
     words = F.split(F.replace(F.coalesce(text, F.lit("")), F.lit("\n"), F.lit(" ")), " ", -1)
-    last = F.floor((F.size(words) - 1) / WORDS_PER_LINE).cast("int")
-    return F.transform(F.sequence(F.lit(0), last), lambda k: F.array_join(F.slice(words, k * WORDS_PER_LINE + 1, F.lit(WORDS_PER_LINE)), " "))
+
+    def cut(w: Column) -> Column:
+        last = F.floor((F.size(w) - 1) / WORDS_PER_LINE).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.array_join(F.slice(w, k * WORDS_PER_LINE + 1, F.lit(WORDS_PER_LINE)), " "))
+
+    return F.get(F.transform(F.array(words), cut), F.lit(0))  # bound to a variable, the words are split once a row
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,9 +153,8 @@ def _sbb_sql(text: str) -> str:
 
 @query(f"WITH {_LINES}, {_TOKENS} SELECT lang, count(*)::BIGINT AS n_lines, sum(c_dist)::BIGINT AS c_dist, sum(n_characters)::BIGINT AS n_characters, {_rate_sql('sum(c_dist)', 'sum(n_characters)')} AS cer FROM measured GROUP BY lang")
 def flagship_cer_by_lang(spark, sf_dir):
-    """Length-weighted character error rate by language, on the JVM from scan to result."""
-    pairs = lines(spark, sf_dir).select("lang", U.graphemes("gt").alias("g"), U.graphemes("ocr").alias("o"))
-    counted = pairs.select("lang", D.jvm_distance("g", "o").alias("c_dist"), F.size("g").alias("n_characters"))
+    """Length-weighted character error rate by language, from integer sums that combine before the shuffle."""
+    counted = lines(spark, sf_dir).select("lang", D.cer("gt", "ocr").alias("m")).select("lang", F.col("m.d").alias("c_dist"), F.col("m.n").alias("n_characters"))
     return counted.groupBy("lang").agg(
         F.count("*").alias("n_lines"), F.sum("c_dist").alias("c_dist"), F.sum("n_characters").alias("n_characters"), D.rate(F.sum("c_dist"), F.sum("n_characters")).alias("cer"))
 
