@@ -49,19 +49,20 @@ def noisy(text: Column, number: Column) -> Column:
     return F.concat(text, F.when(number % 3 == 0, F.lit("ß")).otherwise(F.lit("")))
 
 
-def lines_of(text: Column) -> Column:
-    """Array of lines of twelve words, the whole text."""
-    words = F.split(F.replace(F.coalesce(text, F.lit("")), F.lit("\n"), F.lit(" ")), " ", -1)
+def documents_in_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with ``l``, their whole text as an array of lines of twelve words.
 
-    def cut(w: Column) -> Column:
-        last = F.floor((F.size(w) - 1) / WORDS_PER_LINE).cast("int")
-        return F.transform(F.sequence(F.lit(0), last), lambda k: F.array_join(F.slice(w, k * WORDS_PER_LINE + 1, F.lit(WORDS_PER_LINE)), " "))
-
-    return F.get(F.transform(F.array(words), cut), F.lit(0))  # bound to a variable, the words are split once a row
+    The words pass through a one-element explode, so that they are split once a row and not once a line.
+    """
+    words = F.split(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")), " ", -1)
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.explode(F.array(words)).alias("w"))
+    last = F.floor((F.size("w") - 1) / WORDS_PER_LINE).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), last), lambda k: F.array_join(F.slice("w", k * WORDS_PER_LINE + 1, F.lit(WORDS_PER_LINE)), " "))
+    return rows.select("doc_id", "lang", "source", cut.alias("l"))
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.posexplode(lines_of(F.col("text"))).alias("line_no", "gt"))
+    rows = documents_in_lines(spark, sf_dir).select("doc_id", "lang", "source", F.posexplode("l").alias("line_no", "gt"))
     rows = rows.withColumn("line_no", F.col("line_no").cast("long"))
     return rows.withColumn("ocr", noisy(F.col("gt"), F.col("doc_id") + F.col("line_no")))
 
@@ -273,7 +274,7 @@ def align_words(spark, sf_dir):
 def align_lines(spark, sf_dir):
     """Sequences of whole lines: each document's lines against its lines after recognition, without the third ones."""
     kept = lambda n, x: (n % 3 != 2) | (x == "")
-    both = table(spark, sf_dir, "documents").select("doc_id", lines_of(F.col("text")).alias("g"))
+    both = documents_in_lines(spark, sf_dir).select("doc_id", F.col("l").alias("g"))
     both = both.withColumn("o", F.transform(F.filter("g", lambda x, n: kept(n, x)), lambda x: F.replace(x, F.lit("rn"), F.lit("m"))))
     return X.alignment_rows(both.withColumn("a", D.seq_align("g", "o")), "a", "doc_id")
 
@@ -420,7 +421,7 @@ def _extracted(docs: DataFrame, xml: Column, level: str = "region") -> DataFrame
 
 
 def _each(build) -> Column:
-    return F.array_join(F.transform(lines_of(F.col("text")), build), "")
+    return F.array_join(F.transform("l", build), "")
 
 
 def _number(n: Column) -> Column:
@@ -433,7 +434,7 @@ def alto_lines(spark, sf_dir):
     string = lambda w: F.concat(F.lit('<String CONTENT="'), S.html_escape(w), F.lit('"/><SP/>'))
     line = lambda x, n: F.concat(F.lit('<TextLine ID="l'), _number(n), F.lit('">'), F.array_join(F.transform(F.split(x, " ", -1), string), ""), F.lit("</TextLine>"))
     xml = F.concat(F.lit(f'<alto xmlns="{_ALTO_NS}"><Layout><Page><PrintSpace><TextBlock>'), _each(line), F.lit("</TextBlock></PrintSpace></Page></Layout></alto>"))
-    return _extracted(table(spark, sf_dir, "documents"), xml).select("doc_id", "seq", "segment_id", "text")
+    return _extracted(documents_in_lines(spark, sf_dir), xml).select("doc_id", "seq", "segment_id", "text")
 
 
 @query(f"WITH {_LINES} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1)::BIGINT AS seq, 'r' || line_no AS region_id, {_sbb_sql('gt')} AS text FROM lines WHERE gt <> ''")
@@ -441,7 +442,7 @@ def page_regions(spark, sf_dir):
     """Documents as PAGE files without a reading order: regions in document order, empty ones left out."""
     region = lambda x, n: F.concat(F.lit('<TextRegion id="r'), _number(n), F.lit('"><TextEquiv conf="0.4"><Unicode>wrong</Unicode></TextEquiv><TextEquiv index="0"><Unicode>'), S.html_escape(x), F.lit("</Unicode></TextEquiv></TextRegion>"))
     xml = F.concat(F.lit(f'<PcGts xmlns="{_PAGE_NS}"><Page>'), _each(region), F.lit("</Page></PcGts>"))
-    return _extracted(table(spark, sf_dir, "documents"), xml).select("doc_id", "seq", "region_id", "text")
+    return _extracted(documents_in_lines(spark, sf_dir), xml).select("doc_id", "seq", "region_id", "text")
 
 
 @query(f"WITH {_LINES} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY line_no DESC) - 1)::BIGINT AS seq, 'l' || line_no AS segment_id, {_sbb_sql('gt')} AS text FROM lines WHERE gt <> ''")
@@ -451,7 +452,7 @@ def page_lines(spark, sf_dir):
     ref = lambda x, n: F.concat(F.lit('<pc:RegionRefIndexed index="'), _number(F.lit(1_000_000) - n), F.lit('" regionRef="r'), _number(n), F.lit('"/>'))
     order = F.concat(F.lit('<pc:ReadingOrder><pc:UnorderedGroup id="u"><pc:RegionRef regionRef="image"/><pc:OrderedGroup id="o">'), _each(ref), F.lit("</pc:OrderedGroup></pc:UnorderedGroup></pc:ReadingOrder>"))
     xml = F.concat(F.lit(f'<pc:PcGts xmlns:pc="{_PAGE_NS}"><pc:Page>'), order, _each(line), F.lit("</pc:Page></pc:PcGts>"))
-    return _extracted(table(spark, sf_dir, "documents"), xml, "line").select("doc_id", "seq", "segment_id", "text")
+    return _extracted(documents_in_lines(spark, sf_dir), xml, "line").select("doc_id", "seq", "segment_id", "text")
 
 
 @query(f"WITH {_LINES} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY (line_no * 7919) % 104729) - 1)::BIGINT AS seq, 'r' || line_no AS region_id, gt AS text FROM lines WHERE gt <> ''")
