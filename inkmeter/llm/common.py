@@ -6,15 +6,21 @@ share), so a lost executor never takes the only copy of an intermediate result w
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A staged side is broadcast only below both bounds; beyond them the join shuffles.
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 16 << 20
+#: Texts in an Arrow batch.
+BATCH_ROWS = 1_000
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -73,9 +79,32 @@ def broadcast_if_small(side: DataFrame, staged: DataFrame | None = None, rows: i
     return side
 
 
+def give_back() -> None:
+    """Hands memory that a task has freed back to the system, so that idle Python workers stay small."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """An Arrow iterator function that gives memory back when its task ends."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Keeps Arrow batches of whole texts to ``BATCH_ROWS`` where the session has Spark's default of 10,000."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

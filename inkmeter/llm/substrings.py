@@ -26,15 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, load, stage, text_or_empty
+from .common import broadcast_if_small, lean, load, small_batches, stage, text_or_empty
 
 DEPTH = 100
 GRAM = 32
 SIDE = DEPTH - GRAM
 HALF = SIDE // 2
 #: Anchors and surroundings that a task holds at once.
-ANCHOR_ROWS = 1 << 19
-REFINE_ROWS = 1 << 17
+ANCHOR_ROWS = 1 << 18
+REFINE_ROWS = 1 << 16
 _BASE = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _POS_BITS = 20
@@ -131,7 +131,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From anchors sorted by (gram, around, doc, at): ``(doc, kind, a, b)``, kind 0 a settled interval
-    [a, b), kind 1 an anchor to refine (a = at, b = gram). Holds one row between batches."""
+    [a, b), kind 1 an anchor to refine (a = at, b = 0). Holds one row between batches."""
     last = None  # first row of the run that is open, and whether it has been asked for
     for batch in batches:
         gram, around, doc, at, size = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
@@ -154,7 +154,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ask = reps[several]
             if asked and len(ask) and ask[0] == 0:
                 ask = ask[1:]
-            out.append((doc[ask], np.ones(len(ask), np.int32), at[ask], gram[ask]))
+            out.append((doc[ask], np.ones(len(ask), np.int32), at[ask], np.zeros(len(ask), np.int64)))
             i = reps[-1]
             last = (gram[i], around[i], doc[i], at[i], bool(several[-1]) or (i == 0 and asked))
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["doc", "kind", "a", "b"])
@@ -167,9 +167,9 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         keys, docs, metas, rest = [], [], [], []
         for doc, asked, text in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
             data = text.as_buffer().to_pybytes()
-            asked = asked.values
-            at, gram = asked.field("a").to_numpy(), asked.field("b").to_numpy().view(np.uint64)
-            for p, right, g in zip((at >> 7).tolist(), (at & 127).tolist(), gram.tolist(), strict=True):
+            at = asked.values.to_numpy()
+            for p, right in zip((at >> 7).tolist(), (at & 127).tolist(), strict=True):
+                gram = data[p : p + GRAM]
                 left = min(SIDE, p)
                 before, after = data[p - left : p][::-1], data[p + GRAM : p + GRAM + right]
                 for side, near, u, v, low, high in (
@@ -177,7 +177,7 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     (1, before[:HALF], before[HALF:], after[:HALF], max(HALF, SIDE - right) - HALF, min(SIDE, left) - HALF),
                 ):
                     if low <= high and len(near) == HALF:
-                        keys.append(hashlib.blake2b(near + bytes([side]) + g.to_bytes(8, "little"), digest_size=8).digest())
+                        keys.append(hashlib.blake2b(near + bytes([side]) + gram, digest_size=8).digest())
                         docs.append(doc)
                         metas.append((((p * 2 + side) * 64) + low) * 64 + high)
                         rest.append(u.ljust(HALF, b"\0") + v.ljust(HALF, b"\0"))
@@ -247,8 +247,8 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             removed = 0
             end = -1
             if cuts.is_valid:
-                found = cuts.values
-                lo, hi = found.field("a").to_numpy(), found.field("b").to_numpy()
+                found = cuts.values.to_numpy()
+                lo, hi = found[: len(found) // 2], found[len(found) // 2 :]
                 for a, b in sorted(zip(lo.tolist(), hi.tolist(), strict=True)):
                     if a > end:
                         kept.update(data[at:a])
@@ -267,24 +267,26 @@ def _release(spark: SparkSession) -> None:
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc, cuts)``: per document with repeats, the byte intervals to remove (they may overlap)."""
+    """``(doc, cuts)``: per document with repeats, the starts and then the ends of the byte intervals to remove (they may overlap)."""
     spark = docs.sparkSession
+    small_batches(spark)
     picked = docs.select(F.col(id_col).cast("long").alias("doc"), F.encode(text_or_empty(text_col), "UTF-8").alias("data")).filter("doc IS NOT NULL")
     # whole copies are settled first: all but the smallest id go, and take no part in what follows
     digests = stage(picked.select("doc", F.sha2("data", 256).alias("sha"), F.octet_length("data").cast("long").alias("n")).filter(F.col("n") >= DEPTH), "text-digests")
     firsts = digests.groupBy("sha").agg(F.min("doc").alias("least"), F.count("*").alias("copies")).filter("copies > 1")
     copies = stage(digests.join(firsts.select("sha", "least"), "sha").filter("doc > least").select("doc", "n").distinct(), "whole-copies")
     rest = picked.join(broadcast_if_small(copies.select("doc"), copies), "doc", "left_anti")
-    anchors = rest.mapInArrow(_anchor_rows, "gram long, around long, doc long, at long, len long")
+    anchors = rest.mapInArrow(lean(_anchor_rows), "gram long, around long, doc long, at long, len long")
     settled = stage(
-        anchors.repartition("gram").sortWithinPartitions("gram", "around", "doc", "at").mapInArrow(_settle, "doc long, kind int, a long, b long"), "settled-anchors")
+        anchors.repartition("gram").sortWithinPartitions("gram", "around", "doc", "at").mapInArrow(lean(_settle), "doc long, kind int, a long, b long"), "settled-anchors")
     _release(spark)
-    asked = stage(settled.filter("kind = 1").groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("asked")), "anchors-to-refine")
-    around = rest.join(broadcast_if_small(asked), "doc").select("doc", "asked", "data").mapInArrow(_surroundings, "key long, doc long, meta long, rest binary")
-    refined = stage(around.repartition("key").sortWithinPartitions("key", "doc", "meta").mapInArrow(_refined, "doc long, a long, b long"), "refined-windows")
+    asked = stage(settled.filter("kind = 1").groupBy("doc").agg(F.collect_list("a").alias("asked")), "anchors-to-refine")
+    around = rest.join(broadcast_if_small(asked), "doc").select("doc", "asked", "data").mapInArrow(lean(_surroundings), "key long, doc long, meta long, rest binary")
+    refined = stage(around.repartition("key").sortWithinPartitions("key", "doc", "meta").mapInArrow(lean(_refined), "doc long, a long, b long"), "refined-windows")
     _release(spark)
     spans = settled.filter("kind = 0").select("doc", "a", "b").unionByName(refined).unionByName(copies.select("doc", F.lit(0).cast("long").alias("a"), F.col("n").alias("b")))
-    return stage(spans.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("cuts")), "byte-cuts")
+    # starts, then ends, as one array of numbers; both lists are gathered in one order
+    return stage(spans.groupBy("doc").agg(F.concat(F.collect_list("a"), F.collect_list("b")).alias("cuts")), "byte-cuts")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
