@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, text_or_empty
+from .common import lean, load, small_batches, text_or_empty
 
 N_FEATURES = 1 << 14
 ORDERS = (1, 2, 3)
@@ -131,7 +131,8 @@ def fit(rows: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> Model:
 
     What reaches the driver is languages × features sums and languages × bits margins of the sample.
     """
-    per_lang = rows.mapInArrow(_count_udf, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
+    small_batches(rows.sparkSession)
+    per_lang = rows.mapInArrow(lean(_count_udf), "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
     packed = per_lang.groupBy("lang").agg(F.collect_list("slot").alias("slots"), F.collect_list("n").alias("ns")).orderBy("lang").collect()
     counts = np.zeros((len(packed), N_FEATURES))
     for i, row in enumerate(packed):
@@ -162,6 +163,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", pred_col: str
     model saw no language. Ties go to the language that sorts first. Other columns pass through.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     model_of = shared
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, text_or_empty
+from .common import lean, load, small_batches, text_or_empty
 
 MOST = 2_048
 END = 1
@@ -32,11 +32,11 @@ FREE_PENALTY = 100
 #: A sentence longer than this may also be cut inside, at multiples of it.
 STRIDE = 256
 #: Ids after which a block is closed; each block is packed by itself.
-BLOCK_IDS = 1 << 20
+BLOCK_IDS = 1 << 18
 #: Characters whose words are looked up together.
-CHUNK_CHARS = 1 << 21
+CHUNK_CHARS = 1 << 19
 #: Words whose ids a worker remembers, at most, in each of two generations.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 
 
 class Words:
@@ -57,17 +57,17 @@ class Words:
         from tokenizers import Tokenizer, normalizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.bare = Tokenizer.from_file(path)  # for words that are in normal form already
-        self.bare.normalizer = normalizers.Sequence([])
+        # switched off for words that are in normal form already; one tokenizer a worker is enough
+        self.normalizer, self.no_normalizer = self.tokenizer.normalizer, normalizers.Sequence([])
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.is_stop = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.is_stop[[i for x in (".", "!", "?", "...", "\".", ".\"") for i in self.tokenizer.encode(x, add_special_tokens=False).ids]] = True
 
-    @staticmethod
-    def _encode(tokenizer, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, texts: list[str], normal: bool = False) -> list[bytes]:
+        self.tokenizer.normalizer = self.no_normalizer if normal else self.normalizer
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
         """Takes words over from the older generation, or has them encoded; letters and the signs behind them apart."""
@@ -85,7 +85,7 @@ class Words:
         new.update(w[len(core) :] for w, core in ended.items())
         listed = list(new.difference(self.known))
         known = self.known
-        known.update(zip(listed, self._encode(self.bare, listed), strict=True))
+        known.update(zip(listed, self._encode(listed, normal=True), strict=True))
         known.update({w: known[core] + known[w[len(core) :]] for w, core in ended.items()})
 
     def ids(self, texts: list[str]) -> list[bytes]:
@@ -97,7 +97,7 @@ class Words:
                 out[at] = lowered.split()
         self._learn([w for words in out if words is not None for w in words])
         find, join = self.known.__getitem__, b"".join
-        return [join(map(find, words)) if words is not None else self._encode(self.tokenizer, [text])[0] for words, text in zip(out, texts, strict=True)]
+        return [join(map(find, words)) if words is not None else self._encode([text])[0] for words, text in zip(out, texts, strict=True)]
 
 
 _WORDS: dict[str, Words] = {}
@@ -247,9 +247,11 @@ def pack(docs: DataFrame, tokenizer_path: str, most: int = MOST, id_col: str = "
             yield from take(texts, of)
         if held:
             yield flush()
+        words.older = {}
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(
-        run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+        lean(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def tokenizer_file() -> str:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, load, stage
+from .common import broadcast_if_small, lean, load, small_batches, stage
 
 KINDS = ("assign", "access", "hex", "token", "jwt", "pem", "bare")
 #: A value seen at more owners than this is a widely copied example.
@@ -102,9 +102,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
     """Base spans and candidates of every row, staged; ``key`` tells rows of one id but other text apart."""
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), F.col(owner_col).cast("string").alias("owner"), text.alias("text"))
-    return stage(picked.mapInArrow(_scan, _SCAN_DDL), "secret-scan")
+    return stage(picked.mapInArrow(lean(_scan), _SCAN_DDL), "secret-scan")
 
 
 def ownership(scanned: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:

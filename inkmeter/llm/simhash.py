@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, load, stage, text_or_empty
+from .common import broadcast_if_small, lean, load, small_batches, stage, text_or_empty
 from .graph import components, forest
 
 SHINGLE = 3
@@ -26,7 +26,7 @@ MOST_BITS = 3
 SEED = 42
 #: Groups at an anchor up to this size are compared directly, larger ones through equal 16-bit blocks.
 DIRECT = 64
-_ROWS = 1 << 19
+_ROWS = 1 << 18
 _LANES = np.uint64(0x0001000100010001)
 _SHIFTS = np.arange(16, dtype=np.uint64)[:, None]
 
@@ -61,8 +61,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
+    small_batches(docs.sparkSession)
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(text_or_empty(text_col), "UTF-8").alias("t"))
-    return picked.mapInArrow(run, "doc_id long, fp long")
+    return picked.mapInArrow(lean(run), "doc_id long, fp long")
 
 
 def _anchored(fps: DataFrame) -> DataFrame:
@@ -143,7 +144,7 @@ def links(fps: DataFrame, most: int = MOST_BITS) -> DataFrame:
             yield out(tuple(np.concatenate(x) for x in zip(*kept, strict=True)))
 
     dealt = _anchored(fps).repartition("anchor").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(lean(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, most: int = MOST_BITS) -> DataFrame:
