@@ -36,7 +36,7 @@ BLOCK_IDS = 1 << 18
 #: Characters whose words are looked up together.
 CHUNK_CHARS = 1 << 19
 #: Words whose ids a worker remembers, at most, in each of two generations.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 
 
 class Words:
@@ -60,6 +60,7 @@ class Words:
         # switched off for words that are in normal form already; one tokenizer a worker is enough
         self.normalizer, self.no_normalizer = self.tokenizer.normalizer, normalizers.Sequence([])
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.most = CACHE_WORDS
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.is_stop = np.zeros(self.tokenizer.get_vocab_size(), bool)
@@ -72,7 +73,7 @@ class Words:
     def _learn(self, words: list[str]) -> None:
         """Takes words over from the older generation, or has them encoded; letters and the signs behind them apart."""
         new = set(words).difference(self.known)
-        if len(self.known) + 2 * len(new) > CACHE_WORDS:
+        if len(self.known) + 2 * len(new) > self.most:
             self.known, self.older = {}, self.known
             new = set(words)
         if self.older:
@@ -195,19 +196,21 @@ def pack_block(ids: list[bytes], is_stop: np.ndarray, most: int = MOST) -> list[
 _OUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
-def pack(docs: DataFrame, tokenizer_path: str, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Pieces of every document in sequences of at most ``most`` ids.
 
     Returns ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``. Documents keep the order
     in which their partition is scanned; no row moves to another task. ``sequence_id`` holds the partition in
     its upper 31 bits. A null or empty text is the end id alone; repeated rows are packed each; null ids
-    stay null; an empty table gives no rows. Other columns are ignored.
+    stay null; an empty table gives no rows. ``cache_words`` trades a worker's memory for time; results are the same. Other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words, end = words_of(tokenizer_path), np.array([END], "<u4").tobytes()
+        words = words_of(tokenizer_path)
+        words.most = cache_words
+        end = np.array([END], "<u4").tobytes()
         first = TaskContext.get().partitionId() << 32
         doc_ids: list[int | None] = []
         ids: list[bytes] = []
