@@ -34,9 +34,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 ids."""
-    return packing.pack(docs, packing.tokenizer_file())
+    return packing.pack(docs, packing.tokenizer_file(), cache_words=PACKING_CACHE_WORDS)
 
 
+#: Workers that have run the other stages have less room for remembered words.
+PACKING_CACHE_WORDS = 300_000
+
 STAGES = [
     ("language ID", identify_language), ("SimHash near-dedup", drop_near_duplicates), ("secret scans", mask_secrets),
     ("mixing sources to target weights", mix_sources), ("packing", pack_sequences),
