@@ -164,9 +164,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, most: int = MOST_BITS) -> DataFrame:
-    """The row with the smallest id of every near-duplicate group; all columns stay. Rows without id are kept."""
-    found = stage(near_duplicates(docs, id_col, text_col, shingle, most), "near-duplicates")
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_BITS) -> DataFrame:
+    """The row with the smallest id of every near-duplicate group; all columns stay. Rows without id are kept.
+
+    Near-duplicates are texts at five-word similarity 0.8 or more, or with fingerprints within ``most`` bits.
+    """
+    from .nearcopies import near_copies
+
+    found = near_copies(docs, id_col, text_col, most=most)
     gone = stage(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "duplicate-ids")
     rest = docs.join(broadcast_if_small(gone), F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
     again = stage(found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again")), "repeated-ids")
