@@ -34,9 +34,13 @@ _HEX = re.compile(r"[0-9a-f]{32,}")  # runs are maximal, so the length bound can
 _MORE = (
     ("token", re.compile(r"(?a)\b(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})")),
     ("jwt", re.compile(r"(?a)\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}")),
-    ("pem", re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----")),
+    # to the END line, else over the base64 lines that follow (line ends may be written as \n), else the header alone
+    ("pem", re.compile(
+        r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:(?P<whole>(?s:(?!-----(?:BEGIN|END) ).)*)-----END [A-Z ]{0,40}PRIVATE KEY-----"
+        r"|(?P<cut>(?:(?:\s|\\r|\\n)+(?:(?:Proc-Type|DEK-Info):[^\n]{0,200}|[A-Za-z0-9+/]{24,}={0,2}))+(?:(?:[ \t\r]*\n|(?:\\r)?\\n)[ \t]*[A-Za-z0-9+/]+={0,2}(?=[ \t\r]*(?:[\n\\\"']|\Z)))?)|)")),
     ("bare", re.compile(r"(?a)[A-Za-z0-9+/_]{24,}={0,2}")),
 )
+_PEM = dict(_MORE)["pem"]
 _DIGIT_AND_LETTER = re.compile(r"(?a)(?=.*[0-9])(?=.*[A-Za-z])")
 
 
@@ -54,18 +58,28 @@ def base_spans(text: str) -> list[tuple[int, int, int, int]]:
 
 
 def more_spans(text: str, taken: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """Candidates of the further kinds that overlap no base span."""
+    """Candidates of the further kinds that overlap no base span; private keys also where they do."""
     found: list[tuple[int, int, int, int]] = []
     for k, (kind, pattern) in enumerate(_MORE, 3):
         for m in pattern.finditer(text):
             a, b = m.span()
             if kind == "bare" and (not _DIGIT_AND_LETTER.match(m[0]) or entropy(m[0]) < MIN_ENTROPY):
                 continue
-            if not any(a < y[2] and y[0] < b for y in taken) and not any(a < y[2] and y[0] < b for y in found):
+            # a key stays whole where a base span or token touches it
+            if kind == "pem" or not any(a < y[2] and y[0] < b for y in taken) and not any(a < y[2] and y[0] < b for y in found):
                 found.append((a, k, b, a))
     return found
 
 
+def secret_value(text: str, span: tuple[int, int, int, int]) -> str:
+    """What ownership counts: of a private key the body without white space, else the span from its value on."""
+    _, kind, end, at = span
+    if KINDS[kind] == "pem":
+        m = _PEM.match(text, at)
+        return re.sub(r"\s|\\[rn]", "", m["whole"] or m["cut"] or "") or text[at:end]
+    return text[at:end]
+
+
 def joined(spans: list) -> str:
     return ",".join(f"{KINDS[s[1]]}:{s[0]}:{s[2]}" for s in sorted(spans))
 
@@ -93,8 +107,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 "n_assign": kinds[0], "n_access": kinds[1], "n_hex": kinds[2], "base": listing,
                 "base_sha256": hashlib.sha256(listing.encode()).hexdigest(),
                 "spans": [
-                    {"kind": k, "start": a, "end": b, "value": hashlib.sha256(text[v:b].encode()).hexdigest()}
-                    for a, k, b, v in sorted(base + more_spans(text, base))
+                    {"kind": k, "start": a, "end": b, "value": hashlib.sha256(secret_value(text, s).encode()).hexdigest()}
+                    for s in sorted(base + more_spans(text, base)) for a, k, b, _ in [s]
                 ],
             })
         yield pa.RecordBatch.from_pylist(rows, _SCAN)
