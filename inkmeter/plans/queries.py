@@ -524,3 +524,69 @@ def report_json(spark, sf_dir):
 @query()
 def report_html(spark, sf_dir):
     return _rendered(spark, sf_dir).select(F.col("name").alias("item_id"), "html")
+
+
+# ---------------------------------------------------------------- scripts, summaries and reports of every document
+
+
+def lines_measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measure(lines(spark, sf_dir), "gt", "ocr", alignments=True)
+
+
+def documents_measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document: its rates, its lines as segments and the alignments of its lines in a row."""
+    rows = lines_measured(spark, sf_dir)
+    rates = A.corpus_rates(rows, "doc_id")
+    inline = F.array_sort(F.collect_list(F.struct("line_no", "gt", "ocr", "c_align", "w_align")))
+    seg = lambda c: F.transform("l", lambda x: F.struct(F.concat(F.lit("line "), x["line_no"].cast("string")).alias("segment_id"), x[c].alias("text")))
+    flat = lambda c: F.flatten(F.transform("l", lambda x: x[c]))
+    whole = rows.groupBy("doc_id").agg(inline.alias("l")).select(
+        "doc_id", seg("gt").alias("gt_segments"), seg("ocr").alias("ocr_segments"), flat("c_align").alias("c_align"), flat("w_align").alias("w_align"))
+    return whole.join(rates, "doc_id")
+
+
+@query()
+def editops_documents(spark, sf_dir):
+    rows = lines(spark, sf_dir).select("doc_id", "line_no", F.posexplode(D.editops("gt", "ocr")).alias("nth", "e"))
+    return rows.select("doc_id", "line_no", F.col("nth").cast("long").alias("nth"), "e.op", F.col("e.src_pos").cast("long").alias("src_pos"), F.col("e.dest_pos").cast("long").alias("dest_pos"))
+
+
+@query()
+def align_chars_documents(spark, sf_dir):
+    return X.alignment_rows(lines_measured(spark, sf_dir), "c_align", "doc_id", "line_no").withColumn("pos", F.col("pos").cast("long"))
+
+
+@query()
+def align_words_documents(spark, sf_dir):
+    return X.alignment_rows(lines_measured(spark, sf_dir), "w_align", "doc_id", "line_no").withColumn("pos", F.col("pos").cast("long"))
+
+
+def _document_reports(spark, sf_dir) -> DataFrame:
+    return documents_measured(spark, sf_dir).select("cer", "wer", F.struct(X.difference_map(F.col("c_align")).alias("character_level"), X.difference_map(F.col("w_align")).alias("word_level")).alias("differences"))
+
+
+@query()
+def merge_diff_maps_documents(spark, sf_dir):
+    return A.merge_difference_maps(_document_reports(spark, sf_dir))
+
+
+@query()
+def summary_documents(spark, sf_dir):
+    return summary_of(_document_reports(spark, sf_dir))
+
+
+def _documents_rendered(spark, sf_dir) -> DataFrame:
+    rows = documents_measured(spark, sf_dir).select(
+        F.col("doc_id").alias("name"), F.format_string("gt/%d.txt", "doc_id").alias("gt_path"), F.format_string("ocr/%d.txt", "doc_id").alias("ocr_path"),
+        "gt_segments", "ocr_segments", "cer", "wer", "n_characters", "n_words", "c_align", "w_align")
+    return render(rows, differences=True)
+
+
+@query()
+def report_json_documents(spark, sf_dir):
+    return _documents_rendered(spark, sf_dir).select(F.col("name").alias("doc_id"), "json")
+
+
+@query()
+def report_html_documents(spark, sf_dir):
+    return _documents_rendered(spark, sf_dir).select(F.col("name").alias("doc_id"), "html")
