@@ -3,8 +3,12 @@
 Prefix filtering: with all shingles in one global order, two sets of n and m at similarity 0.8 share one of
 their first n // 5 + 1 and m // 5 + 1. Texts meet at those, and only pairs whose sizes and places still allow
 the similarity are compared over their whole sets. Any order is exact; shingles that a sample finds common
-come last, so that a widely copied line brings few texts together. Where more than ``DIRECT`` texts
-meet, a few rounds link them to one centre each before what is still apart is compared pair by pair.
+come last, so that a widely copied line brings few texts together.
+
+Before whole sets travel, parities decide most pairs: shingles fall into 2^k buckets by hash, and sets whose
+buckets differ in parity at d places differ by d shingles at least. Of the pairs that are left, one a text is
+compared first, then those that this has not linked. Where more than ``DIRECT`` texts meet, a few rounds link
+each to one centre; groups that are still apart are compared in blocks, by parities, in the tasks that hold them.
 """
 
 from __future__ import annotations
@@ -19,13 +23,19 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, lean, small_batches, stage, text_or_empty
 from .graph import components
-from .simhash import DIRECT, SEED, bit_majority
+from .simhash import SEED, bit_majority
 
 SHINGLE = 5
 #: Texts from which common shingles are drawn (they set the order alone, never the result).
 SAMPLE_ROWS = 2_000
+#: Groups up to this size send their pairs, larger ones go through the rounds.
+DIRECT = 8
 #: Rounds of links to one centre a group before the pairs that are still apart.
 ROUNDS = 3
+#: Rows of a group that meet as one block.
+BLOCK = 2_048
+#: Buckets of parities, at least.
+LEAST_BITS = 1_024
 _ROWS = 1 << 18
 
 
@@ -37,6 +47,27 @@ def shingles(words: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
     return np.fromiter((digest(join(t), SEED) for t in zip(*(words[k:] for k in range(shingle)), strict=False)), np.uint64, len(words) - shingle + 1)
 
 
+def parities(grams: np.ndarray) -> bytes:
+    """A bit for each of 2^k buckets (no fewer than shingles): whether the distinct shingles in it are odd in number."""
+    size = max(LEAST_BITS, 1 << max(0, len(grams) - 1).bit_length())
+    odd = np.bincount((grams & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(bits: bytes, size: int) -> np.ndarray:
+    """Parities of ``size`` bytes: buckets that fall together add up."""
+    x = np.frombuffer(bits, np.uint64)
+    while len(x) * 8 > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
+def may_be_alike(n: int, x: bytes, m: int, y: bytes) -> bool:
+    """Whether sets of n and m shingles with these parities can have similarity 0.8: they then differ by (n + m) / 9 at most."""
+    size = min(len(x), len(y))
+    return 9 * int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum()) <= n + m
+
+
 def _sets(docs: DataFrame, key: str, shingle: int) -> DataFrame:
     """``(key, grams)`` of rows of (key, UTF-8 bytes)."""
 
@@ -58,21 +89,22 @@ def common_shingles(docs: DataFrame, text_col: str, shingle: int) -> np.ndarray:
 
 
 def described(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE) -> DataFrame:
-    """``(doc_id, own, key, fp, n, prefix)`` of every row.
+    """``(doc_id, own, key, fp, n, prefix, bits)`` of every row.
 
     ``own`` tells texts apart and ``key`` their words; ``fp`` is the fingerprint, ``n`` the number of distinct
-    shingles and ``prefix`` the first of them.
+    shingles, ``prefix`` the first of them and ``bits`` their parities.
     """
     small_batches(docs.sparkSession)
     common = common_shingles(docs, text_col, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, fps, sizes, prefixes = [], [], [], []
+            keys, fps, sizes, prefixes, bits = [], [], [], [], []
             for t in batch.column(2):
                 words = t.as_py().lower().split()
                 hashes = shingles(words, shingle)
                 grams = np.unique(hashes)
+                bits.append(parities(grams))
                 if len(common) and len(grams):
                     at = np.searchsorted(common, grams)
                     grams = grams[np.argsort(common[np.minimum(at, len(common) - 1)] == grams, kind="stable")]
@@ -82,63 +114,119 @@ def described(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGL
                 prefixes.append(grams[: len(grams) // 5 + 1].view(np.int64))
             signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), signed(keys), signed(fps), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
-                ["doc_id", "own", "key", "fp", "n", "prefix"])
+                [batch.column(0), batch.column(1), signed(keys), signed(fps), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())),
+                 pa.array(bits, pa.binary())],
+                ["doc_id", "own", "key", "fp", "n", "prefix", "bits"])
 
     text = text_or_empty(text_col)
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("own"), F.encode(text, "UTF-8").alias("t"))
-    return picked.mapInArrow(lean(run), "doc_id long, own long, key long, fp long, n long, prefix array<long>")
+    return picked.mapInArrow(lean(run), "doc_id long, own long, key long, fp long, n long, prefix array<long>, bits binary")
+
 
+def _close(n: np.ndarray, pos: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether sizes and places of rows i and j still allow similarity 0.8 (n ascends from i to j)."""
+    return 9 * np.minimum(n[i] - pos[i], n[j] - pos[j]) >= 4 * (n[i] + n[j])
 
-def _pairs(key: np.ndarray, n: np.ndarray, pos: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of groups of equal ``h`` up to ``DIRECT`` (sorted by h and n), and the mask of the rows of larger groups."""
-    start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-    size = np.diff(np.r_[start, len(h)])
-    left, whole = np.repeat(start + size, size) - np.arange(len(h)), np.repeat(size, size)
-    at = np.flatnonzero((left > 1) & (whole <= DIRECT))
-    a, b, k = [key[:0]], [key[:0]], 1
+
+def _offsets(start: np.ndarray, size: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows i and j = i + 1, i + 2, ... of the same group (sorted by n) for as long as sizes allow similarity 0.8."""
+    left = np.repeat(start + size, size) - np.arange(len(n))
+    at, k = np.flatnonzero(left > 1), 1
     while len(at):
         at = at[5 * n[at] >= 4 * n[at + k]]
-        i, j = at, at + k
-        hit = 9 * np.minimum(n[i] - pos[i], n[j] - pos[j]) >= 4 * (n[i] + n[j])
-        a.append(key[i[hit]])
-        b.append(key[j[hit]])
+        yield at, at + k
         k += 1
         at = at[left[at] > k]
+
+
+def _pairs(h: np.ndarray, n: np.ndarray, key: np.ndarray, pos: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of different labels in groups of equal ``h`` up to ``DIRECT`` (sorted by h and n), and the mask of the rows of larger groups."""
+    size = np.diff(np.r_[np.flatnonzero(np.r_[True, h[1:] != h[:-1]]), len(h)])
+    large = np.repeat(size, size) > DIRECT
+    own, some = np.flatnonzero(~large), size[size <= DIRECT]
+    n_, key_, pos_, label_ = n[own], key[own], pos[own], label[own]
+    a, b = [key[:0]], [key[:0]]
+    for i, j in _offsets(np.cumsum(some) - some, some, n_):
+        hit = (label_[i] != label_[j]) & _close(n_, pos_, i, j)
+        a.append(key_[i[hit]])
+        b.append(key_[j[hit]])
     a, b = np.concatenate(a), np.concatenate(b)
     both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-    return both[0], both[1], whole > DIRECT
+    return both[0], both[1], large
+
+
+def _in_groups(batches: Iterator[pa.RecordBatch], keys: int, out, most: int = _ROWS) -> Iterator[pa.RecordBatch]:
+    """``out(table)`` of rows that are sorted by their first ``keys`` columns, a chunk of whole groups at a time.
+
+    A group that fills a chunk is cut, and ``most`` of its rows at least come with the last part.
+    """
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= _ROWS:
+            table = pa.Table.from_batches(held).combine_chunks()
+            same = np.ones(n, bool)  # the last group may go on
+            for k in range(keys):
+                own = table.column(k).to_numpy()
+                same &= own == own[-1]
+            cut = int(n - same.sum()) or n - most
+            held, n = table.slice(cut).to_batches(), n - cut
+            if cut:
+                yield from out(table.slice(0, cut))
+    if n:
+        yield from out(pa.Table.from_batches(held).combine_chunks())
 
 
 def meetings(texts: DataFrame) -> DataFrame:
-    """``(h, a, n, pos, b)``: pairs of keys (b set, h null), and the members of the groups that are too large for that (b null)."""
+    """``(h, a, n, pos, b)``: pairs of keys (b set, h null), and the members of the groups that are too large for that (b null).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple[np.ndarray, ...]] = []
-        held = 0
+    ``texts`` has ``key, n, prefix, label``; texts of one label are linked already.
+    """
 
-        def out(h: np.ndarray, n: np.ndarray, key: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
-            a, b, large = _pairs(key, n, pos, h)
-            cols = [(None, h[large]), (a, key[large]), (None, n[large]), (None, pos[large]), (b, None)]
-            nulls = (pa.nulls(len(a), pa.int64()), pa.nulls(int(large.sum()), pa.int64()))
-            whole = [pa.concat_arrays([nulls[k] if x is None else pa.array(x, pa.int64()) for k, x in enumerate(c)]) for c in cols]
-            return pa.RecordBatch.from_arrays(whole, ["h", "a", "n", "pos", "b"])
+    def out(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        h, n, key, pos, label = (table.column(k).to_numpy() for k in range(5))
+        a, b, large = _pairs(h, n, key, pos, label)
+        cols = [(None, h[large]), (a, key[large]), (None, n[large]), (None, pos[large]), (b, None)]
+        nulls = (pa.nulls(len(a), pa.int64()), pa.nulls(int(large.sum()), pa.int64()))
+        whole = [pa.concat_arrays([nulls[k] if x is None else pa.array(x, pa.int64()) for k, x in enumerate(c)]) for c in cols]
+        yield pa.RecordBatch.from_arrays(whole, ["h", "a", "n", "pos", "b"])
 
-        for batch in batches:
-            kept.append(tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)))
-            held += batch.num_rows
-            if held >= _ROWS:
-                rows = tuple(np.concatenate(x) for x in zip(*kept, strict=True))
-                cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last group may go on
-                kept, held = [tuple(x[cut:] for x in rows)], len(rows[0]) - cut
-                if cut:
-                    yield out(*(x[:cut] for x in rows))
-        if held:
-            yield out(*(np.concatenate(x) for x in zip(*kept, strict=True)))
-
-    grams = texts.select("key", "n", F.posexplode("prefix").alias("pos", "h")).select("h", "n", "key", F.col("pos").cast("long"))
+    grams = texts.select("key", "n", "label", F.posexplode("prefix").alias("pos", "h")).select("h", "n", "key", F.col("pos").cast("long"), "label")
     dealt = grams.repartition("h").sortWithinPartitions("h", "n", "key")
-    return dealt.mapInArrow(lean(run), "h long, a long, n long, pos long, b long")
+    return dealt.mapInArrow(lean(lambda batches: _in_groups(batches, 1, out, DIRECT + 1)), "h long, a long, n long, pos long, b long")
+
+
+def _block_pairs(rows: DataFrame) -> DataFrame:
+    """``(a, b)`` of different labels that sizes, places and parities allow, from ``(h, key, n, pos, label, bits)``.
+
+    A group of more than ``BLOCK`` rows is dealt to blocks, and every two of them meet in a task of their own, so
+    no task holds a whole group, and none sends on what parities rule out.
+    """
+
+    def out(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        h, x, y, n, key, pos, label, own = (table.column(k).to_numpy() for k in range(8))
+        full = table.column(8).to_pylist()
+        few = np.stack([folded(v, LEAST_BITS // 8) for v in full])
+        size = np.diff(np.r_[np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]), len(h)])
+        found = set()
+        for i, j in _offsets(np.cumsum(size) - size, size, n):
+            hit = (label[i] != label[j]) & _close(n, pos, i, j) & ((x[i] == y[i]) | (own[i] != own[j]))
+            i, j = i[hit], j[hit]
+            hit = 9 * np.bitwise_count(few[i] ^ few[j]).sum(axis=1, dtype=np.int64) <= n[i] + n[j]
+            for u, v in zip(i[hit].tolist(), j[hit].tolist(), strict=True):
+                a, b = sorted((int(key[u]), int(key[v])))
+                if (a, b) not in found and may_be_alike(int(n[u]), full[u], int(n[v]), full[v]):
+                    found.add((a, b))
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    sizes = rows.groupBy("h").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    dealt = rows.join(sizes, "h").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "h", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "n", "key", "pos", "label", "own", "bits")
+    dealt = dealt.repartition("h", "x", "y").sortWithinPartitions("h", "x", "y", "n", "key")
+    return dealt.mapInArrow(lean(lambda batches: _in_groups(batches, 3, out)), "a long, b long").distinct()
 
 
 def _allowed(x: str, y: str) -> Column:
@@ -147,29 +235,56 @@ def _allowed(x: str, y: str) -> Column:
     return (5 * F.least(a, b) >= 4 * F.greatest(a, b)) & (9 * F.least(a - F.col(f"{x}.pos"), b - F.col(f"{y}.pos")) >= 4 * (a + b))
 
 
-def join_labels(docs: DataFrame, texts: DataFrame, labels: DataFrame, text_col: str, shingle: int = SHINGLE) -> DataFrame:
+def _by_parities(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` that parities allow, staged."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(k).to_numpy() for k in (2, 3))
+            keep = [may_be_alike(i, x.as_py(), j, y.as_py()) for i, j, x, y in zip(n.tolist(), m.tolist(), batch.column(4), batch.column(5), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    of = lambda c: texts.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"x{c}"))
+    met = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "xa", "xb")
+    return stage(met.mapInArrow(lean(run), "a long, b long"), "pairs")
+
+
+def join_labels(docs: DataFrame, texts: DataFrame, labels: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE) -> DataFrame:
     """``(key, label)`` with the labels of all texts joined that similarity 0.8 connects.
 
-    ``texts`` has one row a key with its ``own`` text, ``n`` and ``prefix``, ``labels`` a label each; both are staged.
+    ``texts`` has one row a key with the ``doc_id`` and ``own`` of a row that holds it, ``n``, ``prefix`` and ``bits``,
+    ``labels`` a label each; both are staged.
     """
-    met = stage(meetings(texts.filter("n > 0")), "meetings")
+    met = stage(meetings(texts.filter("n > 0").select("key", "n", "prefix").join(broadcast_if_small(labels), "key")), "meetings")
+    slim = texts.select("key", "n", "bits")
     small, large = met.filter("b is not null").select("a", "b").distinct(), met.filter("b is null").select("h", F.col("a").alias("key"), "n", "pos")
+    small = _by_parities(small, slim)
     wanted = small.select(F.explode(F.array("a", "b")).alias("key")).unionByName(large.select("key")).distinct()
-    wanted = stage(texts.join(wanted, "key").select("key", "own"), "candidates")
-    bodies = docs.select(F.xxhash64(text_or_empty(text_col)).alias("own"), F.encode(text_or_empty(text_col), "UTF-8").alias("t"))
-    bodies = bodies.join(broadcast_if_small(wanted), "own").dropDuplicates(["key"])
+    wanted = stage(texts.select("key", "own", "doc_id").join(wanted, "key"), "candidates")
+    bodies = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("own"), F.encode(text_or_empty(text_col), "UTF-8").alias("t"))
+    rep = broadcast_if_small(wanted).alias("w")
+    bodies = bodies.alias("d").join(rep, (F.col("d.own") == F.col("w.own")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("key", "t").dropDuplicates(["key"])
     sets = stage(_sets(bodies, "key", shingle), "candidate-sets")
 
-    def joined(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-        side = broadcast_if_small(labels)
-        for c in ("a", "b"):
-            pairs = pairs.join(side.select(F.col("key").alias(c), F.col("label").alias(f"l{c}")), c)
-        pairs = stage(pairs.filter("la <> lb"), "pairs")
+    def linked(pairs: DataFrame, labels: DataFrame) -> DataFrame:
         of = lambda c: broadcast_if_small(sets.select(F.col("key").alias(c), F.col("grams").alias(f"g{c}")), sets)
         met = pairs.join(of("a"), "a").join(of("b"), "b").filter("9L * size(array_intersect(ga, gb)) >= 4L * (size(ga) + size(gb))")
         roots = stage(components(met.select(F.col("la").alias("a"), F.col("lb").alias("b"))), "label-roots")
         return stage(labels.join(broadcast_if_small(roots), labels.label == roots.node, "left").select("key", F.coalesce("root", "label").alias("label")), "labels")
 
+    def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+        side = broadcast_if_small(labels)
+        for c in ("a", "b"):
+            pairs = pairs.join(side.select(F.col("key").alias(c), F.col("label").alias(f"l{c}")), c)
+        return stage(pairs.filter("la <> lb").select("a", "b", "la", "lb"), "apart")
+
+    def joined(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+        """One pair a text first: in a group of copies it leaves little for the rest."""
+        pairs = apart(pairs, labels)
+        first = pairs.groupBy("b").agg(F.min(F.struct("a", "la", "lb")).alias("p")).select("p.a", "b", "p.la", "p.lb")
+        labels = linked(stage(first, "first-pairs"), labels)
+        return linked(apart(pairs.select("a", "b"), labels), labels)
+
     labels = joined(small, labels)
     if large.isEmpty():
         return labels
@@ -178,12 +293,14 @@ def join_labels(docs: DataFrame, texts: DataFrame, labels: DataFrame, text_col:
         rows = large.join(broadcast_if_small(labels), "key")
         centre = rows.groupBy("h").agg(F.min(F.struct(F.xxhash64("key", F.lit(nth)).alias("o"), "key", "n", "pos", "label")).alias("c")).select("h", "c.*")
         pairs = rows.alias("x").join(centre.alias("y"), "h").filter((F.col("x.label") != F.col("y.label")) & _allowed("x", "y"))
-        labels = joined(pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct(), labels)
+        pairs = pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+        labels = linked(apart(_by_parities(pairs, slim), labels), labels)
     rows = large.join(broadcast_if_small(labels), "key")
-    apart = rows.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("h")
-    rows = stage(rows.join(apart, "h", "left_semi"), "still-apart")
-    pairs = rows.alias("x").join(rows.alias("y"), "h").filter((F.col("x.key") < F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & _allowed("x", "y"))
-    return joined(pairs.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct(), labels)
+    still = rows.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("h")
+    rows = stage(rows.join(still, "h", "left_semi"), "still-apart")
+    if rows.isEmpty():
+        return labels
+    return joined(_block_pairs(rows.join(texts.select("key", "bits"), "key").select("h", "key", "n", "pos", "label", "bits")), labels)
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, most: int | None = None) -> DataFrame:
@@ -195,10 +312,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     from .simhash import MOST_BITS, links
 
     rows = stage(described(docs, id_col, text_col, shingle), "shingles")
-    texts = stage(rows.dropDuplicates(["key"]).select("key", "own", "fp", "n", "prefix"), "distinct-texts")
+    texts = stage(rows.dropDuplicates(["key"]).select("key", "own", "doc_id", "fp", "n", "prefix", "bits"), "distinct-texts")
     roots = stage(components(links(texts.select("fp").distinct(), MOST_BITS if most is None else most)), "fingerprint-roots")
     labels = stage(texts.join(broadcast_if_small(roots), texts.fp == roots.node, "left").select("key", F.coalesce("root", "fp").alias("label")), "labels")
-    labels = join_labels(docs, texts, labels, text_col, shingle)
+    labels = join_labels(docs, texts, labels, id_col, text_col, shingle)
     known = stage(rows.select("doc_id", "own", "key").join(broadcast_if_small(labels), "key"), "labelled")
     lowest = known.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return stage(known.join(lowest, "label").select("doc_id", "own", "component_id"), "near-copies")
