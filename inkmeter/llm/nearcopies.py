@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, lean, small_batches, stage, text_or_empty
+from .common import broadcast_if_small, drop_staged, lean, small_batches, stage, text_or_empty
 from .graph import components
 from .simhash import SEED, bit_majority
 
@@ -36,7 +36,7 @@ ROUNDS = 3
 BLOCK = 2_048
 #: Buckets of parities, at least.
 LEAST_BITS = 1_024
-_ROWS = 1 << 18
+_ROWS = 1 << 17
 
 
 def shingles(words: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
@@ -155,8 +155,8 @@ def _pairs(h: np.ndarray, n: np.ndarray, key: np.ndarray, pos: np.ndarray, label
     return both[0], both[1], large
 
 
-def _in_groups(batches: Iterator[pa.RecordBatch], keys: int, out, most: int = _ROWS) -> Iterator[pa.RecordBatch]:
-    """``out(table)`` of rows that are sorted by their first ``keys`` columns, a chunk of whole groups at a time.
+def _in_groups(batches: Iterator[pa.RecordBatch], keys: int, out, rows: int, most: int) -> Iterator[pa.RecordBatch]:
+    """``out(table)`` of rows that are sorted by their first ``keys`` columns, about ``rows`` in whole groups at a time.
 
     A group that fills a chunk is cut, and ``most`` of its rows at least come with the last part.
     """
@@ -165,13 +165,13 @@ def _in_groups(batches: Iterator[pa.RecordBatch], keys: int, out, most: int = _R
     for batch in batches:
         held.append(batch)
         n += batch.num_rows
-        if n >= _ROWS:
+        if n >= rows:
             table = pa.Table.from_batches(held).combine_chunks()
             same = np.ones(n, bool)  # the last group may go on
             for k in range(keys):
                 own = table.column(k).to_numpy()
                 same &= own == own[-1]
-            cut = int(n - same.sum()) or n - most
+            cut = int(n - same.sum()) or max(0, n - most)
             held, n = table.slice(cut).to_batches(), n - cut
             if cut:
                 yield from out(table.slice(0, cut))
@@ -195,7 +195,7 @@ def meetings(texts: DataFrame) -> DataFrame:
 
     grams = texts.select("key", "n", "label", F.posexplode("prefix").alias("pos", "h")).select("h", "n", "key", F.col("pos").cast("long"), "label")
     dealt = grams.repartition("h").sortWithinPartitions("h", "n", "key")
-    return dealt.mapInArrow(lean(lambda batches: _in_groups(batches, 1, out, DIRECT + 1)), "h long, a long, n long, pos long, b long")
+    return dealt.mapInArrow(lean(lambda batches: _in_groups(batches, 1, out, _ROWS, DIRECT + 1)), "h long, a long, n long, pos long, b long")
 
 
 def _block_pairs(rows: DataFrame) -> DataFrame:
@@ -226,7 +226,7 @@ def _block_pairs(rows: DataFrame) -> DataFrame:
     dealt = rows.join(sizes, "h").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "h", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "n", "key", "pos", "label", "own", "bits")
     dealt = dealt.repartition("h", "x", "y").sortWithinPartitions("h", "x", "y", "n", "key")
-    return dealt.mapInArrow(lean(lambda batches: _in_groups(batches, 3, out)), "a long, b long").distinct()
+    return dealt.mapInArrow(lean(lambda batches: _in_groups(batches, 3, out, 4 * BLOCK, 1 << 30)), "a long, b long").distinct()
 
 
 def _allowed(x: str, y: str) -> Column:
@@ -257,19 +257,25 @@ def join_labels(docs: DataFrame, texts: DataFrame, labels: DataFrame, id_col: st
     """
     met = stage(meetings(texts.filter("n > 0").select("key", "n", "prefix").join(broadcast_if_small(labels), "key")), "meetings")
     slim = texts.select("key", "n", "bits")
+    slim = texts.select("key", "n", "bits")
     small, large = met.filter("b is not null").select("a", "b").distinct(), met.filter("b is null").select("h", F.col("a").alias("key"), "n", "pos")
-    small = _by_parities(small, slim)
-    wanted = small.select(F.explode(F.array("a", "b")).alias("key")).unionByName(large.select("key")).distinct()
-    wanted = stage(texts.select("key", "own", "doc_id").join(wanted, "key"), "candidates")
-    bodies = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("own"), F.encode(text_or_empty(text_col), "UTF-8").alias("t"))
-    rep = broadcast_if_small(wanted).alias("w")
-    bodies = bodies.alias("d").join(rep, (F.col("d.own") == F.col("w.own")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("key", "t").dropDuplicates(["key"])
-    sets = stage(_sets(bodies, "key", shingle), "candidate-sets")
+    text = text_or_empty(text_col)
+    bodies = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+
+    def sets_of(keys: DataFrame) -> DataFrame:
+        """Whole sets of the texts that pairs are left of: the documents are scanned once, and only those texts go on."""
+        rep = broadcast_if_small(stage(texts.select("key", "own", "doc_id").join(keys, "key"), "candidates")).alias("w")
+        met = bodies.alias("d").join(rep, F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).filter(F.xxhash64("d.text") == F.col("w.own"))
+        return stage(_sets(met.select("key", F.encode("d.text", "UTF-8").alias("t")).dropDuplicates(["key"]), "key", shingle), "candidate-sets")
 
     def linked(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+        if pairs.isEmpty():
+            return labels
+        sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
         of = lambda c: broadcast_if_small(sets.select(F.col("key").alias(c), F.col("grams").alias(f"g{c}")), sets)
         met = pairs.join(of("a"), "a").join(of("b"), "b").filter("9L * size(array_intersect(ga, gb)) >= 4L * (size(ga) + size(gb))")
         roots = stage(components(met.select(F.col("la").alias("a"), F.col("lb").alias("b"))), "label-roots")
+        drop_staged(sets)
         return stage(labels.join(broadcast_if_small(roots), labels.label == roots.node, "left").select("key", F.coalesce("root", "label").alias("label")), "labels")
 
     def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -285,7 +291,7 @@ def join_labels(docs: DataFrame, texts: DataFrame, labels: DataFrame, id_col: st
         labels = linked(stage(first, "first-pairs"), labels)
         return linked(apart(pairs.select("a", "b"), labels), labels)
 
-    labels = joined(small, labels)
+    labels = joined(_by_parities(small, slim), labels)
     if large.isEmpty():
         return labels
     for nth in range(ROUNDS):
