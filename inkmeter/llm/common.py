@@ -96,6 +96,11 @@ def lean(run: Callable) -> Callable:
     return wrapped
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that what an operator adds beside it cannot clash with a name in it."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -14,9 +14,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import lean, load, small_batches, text_or_empty
+from .common import lean, load, small_batches, text_or_empty, whole_row
 
 N_FEATURES = 1 << 14
 ORDERS = (1, 2, 3)
@@ -141,9 +142,13 @@ def fit(rows: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> Model:
     share = dict(rows.groupBy("lang").count().collect())
     if not share:
         return model
+    # about the wanted share of each language by hash, then the smallest hashes of those: the same rows in any layout
+    spread = F.lit(1 << 20)
     keep = F.lit(False)
     for lang, n in share.items():
-        keep = keep | ((F.col("lang") == lang) & (F.abs(F.xxhash64("text")) % n < calibration_rows))
+        keep = keep | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("text"), spread) * F.lit(n) <= F.lit(2 * calibration_rows) * spread))
+    nth = F.row_number().over(W.partitionBy("lang").orderBy(F.pmod(F.xxhash64("text"), spread), F.xxhash64("text")))
+    some = rows.filter(keep).withColumn("nth", nth).filter(F.col("nth") <= calibration_rows).select("lang", "text")
     index = {lang: i for i, lang in enumerate(model.langs)}
 
     def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,21 +156,14 @@ def fit(rows: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> Model:
             found = [model.margins(counts_of(t.as_py())).tolist() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64()))], ["lang", "margins"])
 
-    sample = rows.filter(keep).mapInArrow(margins, "lang string, margins array<double>").limit(2 * calibration_rows * len(share)).collect()
+    sample = sorted(some.mapInArrow(margins, "lang string, margins array<double>").collect(), key=lambda r: (r.lang, r.margins))
     model.calibrate(np.array([r.margins for r in sample]), np.array([index[r.lang] for r in sample], int))
     return model
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
-    """``docs`` with a language and a score in 0..1 added.
-
-    Null texts and texts without a letter get ``und`` and score 0, and so does every text if the
-    model saw no language. Ties go to the language that sorts first. Other columns pass through.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
-    model_of = shared
+def _guesser(spark: SparkSession, model: Model):
+    """A column function from text to (language, score)."""
+    model_of = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("struct<lang:string,score:double>")
     def guess(texts):
@@ -175,8 +173,20 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", pred_col: str
         out = [model.predict(counts_of(t)) if has_letter(t) else (UNDETERMINED, 0.0) for t in texts]
         return pd.DataFrame(out, columns=["lang", "score"])
 
-    return docs.withColumn("_ink_guess", guess(text_or_empty(text_col))).withColumns(
-        {pred_col: F.col("_ink_guess.lang"), score_col: F.col("_ink_guess.score")}).drop("_ink_guess")
+    return guess
+
+
+def predict(docs: DataFrame, model: Model, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """``docs`` with a language and a score in 0..1 added.
+
+    Null texts and texts without a letter get ``und`` and score 0, and so does every text if the
+    model saw no language. Ties go to the language that sorts first. Other columns pass through; a
+    column of the name of an added one is replaced by it.
+    """
+    small_batches(docs.sparkSession)
+    rows = docs.select(whole_row(docs).alias("row"), text_or_empty(text_col).alias("t")).select("row", _guesser(docs.sparkSession, model)("t").alias("guess"))
+    kept = [F.col(f"row.`{c}`") for c in docs.columns if c not in (pred_col, score_col)]
+    return rows.select(*kept, F.col("guess.lang").alias(pred_col), F.col("guess.score").alias(score_col))
 
 
 def held_out(id_col: str = "doc_id"):
@@ -198,8 +208,8 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     model = fit_on_training_rows(docs, id_col, text_col, lang_col)
     if not model.langs:
         return docs.filter(F.coalesce(F.col(text_col), F.lit("")).rlike(r"\p{L}"))
-    found = predict(docs, model, text_col, "_ink_lang", "_ink_score").filter(F.col("_ink_lang") != UNDETERMINED)
-    return found.select(*[F.col("_ink_lang").alias(c) if c == lang_col else F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(whole_row(docs).alias("row"), text_or_empty(text_col).alias("t")).select("row", _guesser(docs.sparkSession, model)("t").alias("guess"))
+    return rows.filter(F.col("guess.lang") != UNDETERMINED).select(*[F.col("guess.lang").alias(c) if c == lang_col else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

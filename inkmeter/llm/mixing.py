@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, load, stage, text_or_empty
+from .common import broadcast_if_small, load, stage, text_or_empty, whole_row
 
 #: Rows of a block, about; beyond MOST_BLOCKS blocks they grow instead.
 BLOCK_ROWS = 4_096
@@ -84,9 +84,9 @@ def solve(totals: DataFrame, budget: float | None, target_entropy: float | None,
     return Mix(exponent, z * whole**exponent, float(whole) * z * most if budget is None else float(budget))
 
 
-def copies(docs: DataFrame, budget_share: float | None = 1.0, target_entropy: float | None = TARGET_ENTROPY, max_repeats: float | None = MAX_REPEATS,
+def _placed(docs: DataFrame, budget_share: float | None = 1.0, target_entropy: float | None = TARGET_ENTROPY, max_repeats: float | None = MAX_REPEATS,
            id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``docs`` with ``_tokens``, ``_weight`` (of its source) and ``_copies`` added.
+    """``(row, tokens, weight, copies)`` of every row of ``docs``.
 
     ``budget_share`` times the corpus' tokens are spent; None spends as much as lets every document
     appear at least once. Null sources are one source, null texts have no tokens, a source without any
@@ -118,23 +118,32 @@ def copies(docs: DataFrame, budget_share: float | None = 1.0, target_entropy: fl
     last = slim.join(broadcast_if_small(cut), ["source", "block"]).withColumn("upto", F.col("start") + running).filter("upto <= rest").groupBy("source").agg(
         F.max(F.struct("place", "id")).alias("last"))
     rules = budgets.join(cut.select("source", "turn", "block"), "source", "left").join(last, "source", "left")
-    rules = stage(rules.select(F.col("source").alias("_mix_source"), F.struct("weight", "epochs", "turn", "block", "last").alias("_mix_rule")), "mix-rules")
-    own = docs.withColumn("_mix_own", F.struct(source.alias("source"), block(place).alias("block"), place.alias("place"), tokens_of(text_col).alias("tokens")))
-    joined = own.join(broadcast_if_small(rules), F.col("_mix_own.source") == F.col("_mix_source"))
-    rule, mine = (lambda c: F.col(f"_mix_rule.{c}")), (lambda c: F.col(f"_mix_own.{c}"))
+    rules = stage(rules.select(F.col("source").alias("of"), F.struct("weight", "epochs", "turn", "block", "last").alias("rule")), "mix-rules")
+    id_ = F.col(id_col).cast("long")
+    own = docs.select(whole_row(docs).alias("row"), F.struct(source.alias("source"), id_.alias("id"), block(place).alias("block"), place.alias("place"), tokens_of(text_col).alias("tokens")).alias("own"))
+    joined = own.join(broadcast_if_small(rules), F.col("own.source") == F.col("of"))
+    rule, mine = (lambda c: F.col(f"rule.{c}")), (lambda c: F.col(f"own.{c}"))
     turn = turn_of(mine("source"), rule("epochs"), mine("block"))
     at_cut = (turn == rule("turn")) & (mine("block") == rule("block"))
     before = (turn < rule("turn")) | ((turn == rule("turn")) & (mine("block") < rule("block")))
-    within = at_cut & (F.struct(mine("place").alias("place"), F.col(id_col).cast("long").alias("id")) <= rule("last"))
+    within = at_cut & (F.struct(mine("place").alias("place"), mine("id").alias("id")) <= rule("last"))
     extra = F.coalesce(before | within, F.lit(False)).cast("long")
-    return joined.select(
-        *[F.col(f"`{c}`") for c in docs.columns], mine("tokens").alias("_tokens"), rule("weight").alias("_weight"), (rule("epochs") + extra).cast("long").alias("_copies"))
+    return joined.select("row", mine("tokens").alias("tokens"), rule("weight").alias("weight"), (rule("epochs") + extra).cast("long").alias("copies"))
+
+
+def copies(docs: DataFrame, **how) -> DataFrame:
+    """``docs`` with ``_tokens``, ``_weight`` (of its source) and ``_copies`` added; columns of these names are replaced.
+
+    Takes the settings of ``mix``.
+    """
+    added = {"_tokens": "tokens", "_weight": "weight", "_copies": "copies"}
+    return _placed(docs, **how).select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in added], *[F.col(c).alias(name) for name, c in added.items()])
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with every row as often as the mix wants it; the columns stay."""
-    placed = copies(docs, **how).filter("_copies > 0")
-    return placed.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` with every row as often as the mix wants it; the columns stay, whatever their names."""
+    placed = _placed(docs, **how).filter("copies > 0")
+    return placed.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -310,7 +310,7 @@ def join_labels(docs: DataFrame, texts: DataFrame, labels: DataFrame, id_col: st
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, most: int | None = None) -> DataFrame:
-    """``(doc_id, own, component_id)``, one row per input row, staged.
+    """``(doc_id, own, label, component_id)``, one row per input row, staged; ``label`` tells components apart.
 
     Fingerprints of the shingles within ``most`` bits link as in ``simhash.near_duplicates``, and so do texts
     of similarity 0.8 or more, all transitively; ``component_id`` is the smallest id reachable.
@@ -324,4 +324,4 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     labels = join_labels(docs, texts, labels, id_col, text_col, shingle)
     known = stage(rows.select("doc_id", "own", "key").join(broadcast_if_small(labels), "key"), "labelled")
     lowest = known.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return stage(known.join(lowest, "label").select("doc_id", "own", "component_id"), "near-copies")
+    return stage(known.join(lowest, "label").select("doc_id", "own", "label", "component_id"), "near-copies")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, lean, load, small_batches, stage
+from .common import broadcast_if_small, lean, load, small_batches, stage, whole_row
 
 KINDS = ("assign", "access", "hex", "token", "jwt", "pem", "bare")
 #: A value seen at more owners than this is a widely copied example.
@@ -169,21 +169,21 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
 
     Widely copied examples are left as they are. Null text stays null.
     """
-    hits = find_secrets(docs, id_col, text_col, owner_col, max_owners).select(
-        F.col("doc_id").alias("_hit_id"), F.col("key").alias("_hit_key"), F.filter("found", lambda x: x["live"]).alias("_hit_spans"))
-    hits = stage(hits.filter(F.size("_hit_spans") > 0).dropDuplicates(["_hit_id", "_hit_key"]), "secret-hits")
-    text = F.col(text_col).cast("string")
+    hits = find_secrets(docs, id_col, text_col, owner_col, max_owners).select("doc_id", "key", F.filter("found", lambda x: x["live"]).alias("cuts"))
+    hits = stage(hits.filter(F.size("cuts") > 0).dropDuplicates(["doc_id", "key"]), "secret-hits")
+    text = F.col("t")
     # rebuilt left to right; overlapping spans merge because a cut never moves back
     cut = F.aggregate(
-        F.col("_hit_spans"), F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
+        F.col("h.cuts"), F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
         lambda acc, x: F.when(x["start"] >= acc["at"], F.struct(
             F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(MASK)).alias("out"), x["end"].alias("at")))
         .otherwise(F.struct(acc["out"].alias("out"), F.greatest(acc["at"], x["end"]).alias("at"))),
         lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
     )
-    key = F.xxhash64(F.coalesce(text, F.lit("")))
-    return docs.join(broadcast_if_small(hits), F.col(id_col).cast("long").eqNullSafe(F.col("_hit_id")) & (key == F.col("_hit_key")), "left").select(
-        *[F.coalesce(cut, text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    own = F.col(text_col).cast("string")
+    rows = docs.select(whole_row(docs).alias("row"), F.col(id_col).cast("long").alias("id"), own.alias("t"), F.xxhash64(F.coalesce(own, F.lit(""))).alias("own"))
+    met = rows.join(broadcast_if_small(hits).alias("h"), F.col("id").eqNullSafe(F.col("h.doc_id")) & (F.col("own") == F.col("h.key")), "left")
+    return met.select(*[F.coalesce(cut, text).alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

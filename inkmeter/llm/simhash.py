@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, lean, load, small_batches, stage, text_or_empty
+from .common import broadcast_if_small, lean, load, small_batches, stage, text_or_empty, whole_row
 from .graph import components, forest
 
 SHINGLE = 3
@@ -167,18 +167,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_BITS) -> DataFrame:
     """The row with the smallest id of every near-duplicate group; all columns stay. Rows without id are kept.
 
-    Near-duplicates are texts at five-word similarity 0.8 or more, or with fingerprints within ``most`` bits.
+    Near-duplicates are texts at five-word similarity 0.8 or more, or with fingerprints within ``most`` bits. Rows
+    that share an id are judged by their texts; of several rows of a group that have its smallest id one stays.
     """
     from .nearcopies import near_copies
 
     found = near_copies(docs, id_col, text_col, most=most)
-    gone = stage(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "duplicate-ids")
-    rest = docs.join(broadcast_if_small(gone), F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
-    again = stage(found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again")), "repeated-ids")
-    if again.isEmpty():
-        return rest
-    again, own = broadcast_if_small(again), F.col(id_col).cast("long") == F.col("_again")
-    return rest.join(again, own, "left_anti").unionByName(rest.join(again, own, "left_semi").dropDuplicates([id_col]))
+    heads = found.filter("doc_id = component_id")
+    several = heads.groupBy("label").agg(F.min("own").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    several = stage(heads.join(several, "label").select("doc_id", "own", (F.col("own") == F.col("first")).alias("stays")).distinct(), "repeated-ids")
+    gone = found.filter("doc_id <> component_id").select("doc_id", "own").unionByName(several.filter("NOT stays").select("doc_id", "own"))
+    gone = broadcast_if_small(stage(gone.distinct(), "duplicate-ids"))
+    rows = docs.select(whole_row(docs).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("own"))
+    rest = rows.join(gone, ["doc_id", "own"], "left_anti")
+    again = several.filter("stays").select("doc_id", "own")
+    if not again.isEmpty():
+        again = broadcast_if_small(again, several)
+        rest = rest.join(again, ["doc_id", "own"], "left_anti").unionByName(rest.join(again, ["doc_id", "own"], "left_semi").dropDuplicates(["doc_id", "own"]))
+    return rest.select("row.*")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

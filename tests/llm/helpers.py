@@ -5,7 +5,9 @@ from __future__ import annotations
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use inside.
 CLASHES = ("key", "value", "part", "shard", "block", "fp", "anchor", "home", "root", "least", "tokens", "weight", "epochs", "whole", "last", "id",
-           "place", "spans", "found", "owner", "guess", "score", "payload", "sha1", "v", "cell", "band", "length", "size", "order_key", "data", "doc", "cuts", "t")
+           "place", "spans", "found", "owner", "score", "payload", "sha1", "v", "cell", "band", "length", "size", "order_key", "data", "doc", "cuts", "t",
+           "row", "own", "of", "rule", "copies", "guess", "_copies", "_tokens", "_weight", "_hit_id", "_hit_spans", "_gone", "_again", "_ink_guess", "_ink_lang",
+           "lang_pred", "label", "component_id", "h", "w", "d", "hit", "stays", "nth", "s")
 
 
 def docs(spark, rows, extra: bool = False):

@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from inkmeter.llm import nearcopies, simhash
 from tests.llm.helpers import docs
 
@@ -70,3 +72,33 @@ def test_driver_table_against_brute_force(spark, tiny):
     pairs = [(a, b) for a in sets for b in sets if a < b and alike(sets[a], sets[b])]
     assert all(out[a] == out[b] for a, b in pairs)
     assert sum(dict(rows)[a] != dict(rows)[b] for a, b in pairs) >= 2
+
+
+def test_repeated_ids_are_judged_by_their_texts(spark):
+    words = [f"w{i}" for i in range(60)]
+    far, near = " ".join(words), " ".join([*words[:59], "other"])
+    rows = [(1, far), (1, "a clean text that stands alone under the same number"), (2, near), (3, "one more"), (3, "one more"), (None, far)]
+    got = sorted(((r.doc_id or 0), r.text) for r in simhash.keep_one(docs(spark, rows)).collect())
+    assert got == sorted([(0, far), (1, far), (1, rows[1][1]), (3, "one more")])
+
+
+def test_parities_never_rule_out_a_near_copy():
+    rnd = random.Random(3)
+    for n in (1, 5, 90, 700, 3000):
+        a = {rnd.getrandbits(64) for _ in range(n)}
+        for drop in (0, n // 20, n // 10):
+            b = set(list(a)[drop:]) | {rnd.getrandbits(64) for _ in range(drop)}
+            x, y = (np.sort(np.array(sorted(s), np.uint64)) for s in (a, b))
+            if alike(a, b):
+                assert nearcopies.may_be_alike(len(a), nearcopies.parities(x), len(b), nearcopies.parities(y))
+    a, b = ({rnd.getrandbits(64) for _ in range(3000)} for _ in range(2))
+    x, y = (np.array(sorted(s), np.uint64) for s in (a, b))
+    assert not nearcopies.may_be_alike(3000, nearcopies.parities(x), 3000, nearcopies.parities(y))
+
+
+def test_blocks_of_a_large_group_meet(spark, monkeypatch):
+    rows = planted()
+    want = kept(rows)
+    monkeypatch.setattr(nearcopies, "BLOCK", 8)
+    monkeypatch.setattr(nearcopies, "ROUNDS", 0)
+    assert sorted(r.doc_id for r in simhash.keep_one(docs(spark, rows), most=0).collect()) == want

@@ -3,7 +3,7 @@
 
 import corpus_pipeline
 from inkmeter.llm import secrets
-from tests.llm.helpers import DOCS, awkward, docs
+from tests.llm.helpers import CLASHES, DOCS, awkward, docs
 
 
 def test_stages_end_to_end(spark, tiny):
@@ -37,6 +37,16 @@ def test_awkward_table_runs_through(spark, tiny):
         assert empty.count() == 0
 
 
+def test_clashing_columns_come_back_unchanged(spark, tiny):
+    rows = [(1, "The cat sat on the mat and said password = hunter2hunter2 to no one"), (2, "The cat sat on the mat and said nothing at all"), (3, "12345")] * 2
+    df = docs(spark, rows, extra=True)
+    for _, step in corpus_pipeline.STAGES[:-1]:
+        df = step(spark, df, tiny)
+        assert df.columns == [*[c.split()[0] for c in DOCS.split(", ")], *CLASHES]
+    out = df.collect()
+    assert {r.doc_id for r in out} == {1, 2} and all(r[c] == "junk" for r in out for c in CLASHES)
+
+
 def test_decisions_take_effect(spark, tiny):
     secret = "password = hunter2hunter2"
     rows = [(1, f"The cat sat on the mat and said {secret} to no one at all"), (2, "12345 !!"), (3, None), (4, "Another text about the house and the garden")]
