@@ -1,10 +1,11 @@
 """Approximate nearest neighbours by cosine: vantage-point trees per shard, relaxed pruning.
 
 Vectors are scaled to length one, where cosine order is Euclidean order and the triangle inequality
-holds. Pivots from a bounded sample part the space into cells; cells that outgrow a shard are split by
-id, so every shard is bounded whatever a hot cell holds. A query searches its own cell first, which
-gives its pruning radius, then every shard and subtree whose lower bound, times ``relax``, does not
-exceed the radius: with ``relax`` 1 that is the plain triangle inequality and the search is exact.
+holds. Pivots from a bounded sample part the space into cells, and the vectors of a cell, by their distance
+to its centre, into rings of one shard each, so every shard is bounded whatever a hot cell holds. A query
+searches the shard around it first, which gives its pruning radius, then every shard and subtree whose
+lower bound, times ``relax``, does not exceed the radius: with ``relax`` 1 that is the plain triangle
+inequality and the search is exact.
 """
 
 from __future__ import annotations
@@ -18,19 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, stage
-from .vectors import is_query, matrix, once, pack, ranked, unpack, usable
+from .common import lean, load, stage
+from .vectors import QUERY_EVERY, enough_of_each, found_rows, in_blocks, is_query, matrix, meet, once, ranked, routed, unpack, usable
 
 #: Rows from which pivots are drawn, at most.
 SAMPLE_ROWS = 4_096
-SHARD_ROWS = 8_192
-QUERY_ROWS = 2_048
+SHARD_ROWS = 4_096
 LEAF = 64
 #: Lower bounds are multiplied by this before they are held against the radius.
 RELAX = 2.0
 #: Rounding of distances near zero.
 SLACK = 1e-6
-_FOUND = "query_id long, vec_id long, score double"
 
 
 class VPTree:
@@ -113,7 +112,8 @@ def cosine(q: np.ndarray, x: np.ndarray) -> float:
 def pivots_of(rows: DataFrame, dims: int, n: int, count: int) -> np.ndarray:
     """Cell centres from a bounded sample by a few rounds of spherical k-means."""
     every = max(1, n // SAMPLE_ROWS)
-    sample = rows.filter(F.pmod(F.xxhash64("vec_id"), F.lit(every)) == 0).select("v").limit(SAMPLE_ROWS).collect()
+    place = F.xxhash64("vec_id")
+    sample = rows.filter(F.pmod(place, F.lit(every)) == 0).orderBy(place, "vec_id").limit(SAMPLE_ROWS).select("v").collect()
     x = unit(np.array([r.v + [0.0] * (dims - len(r.v)) for r in sample]))
     centres = x[:: max(1, len(x) // count)][:count]
     for _ in range(5):
@@ -136,52 +136,36 @@ def _assign(rows: DataFrame, centres: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, "vec_id long, v array<double>, cell long, reach double")
 
 
-def _meet(shards: DataFrame, queries: DataFrame, centres: np.ndarray, k: int, relax: float, own_cell: bool) -> DataFrame:
-    dims = centres.shape[1]
+class Shard:
+    """A shard's vectors, original and of length one, and its tree."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, tree, x, u, ids = None, None, None, None, None
-        for batch in batches:
-            for r in batch.to_pylist():
-                if r["shard"] != last:
-                    ids, x = unpack(r["ids"], r["dims"], r["rows"], dims)
-                    last, u, tree = r["shard"], unit(x), pickle.loads(r["tree"])
-                qids, q = unpack(r["q_ids"], r["q_dims"], r["q_rows"], dims)
-                cells = np.frombuffer(r["q_cell"], np.float64).astype(np.int64)
-                radius, uq = np.frombuffer(r["radius"], np.float64), unit(q)
-                at_home = cells == r["cell"]
-                if own_cell:
-                    who = np.flatnonzero(at_home)
-                else:
-                    gap = np.sqrt(np.maximum(0.0, 2 - 2 * uq @ centres[r["cell"]])) - r["reach"]
-                    who = np.flatnonzero(~at_home & (relax * gap <= radius + SLACK))
-                found = []
-                for at, rows in zip(who, tree.search(u, uq[who], qids[who], ids, radius[who], k, relax), strict=True):
-                    found += [(int(qids[at]), int(ids[j]), cosine(q[at], x[j])) for j in rows if j >= 0]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([f[c] for f in found], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
-
-    sent = queries.select(F.col("ids").alias("q_ids"), F.col("dims").alias("q_dims"), F.col("rows").alias("q_rows"), F.col("cell").alias("q_cell"), "radius", F.explode("to").alias("shard"))
-    return shards.join(sent, "shard").mapInArrow(run, _FOUND)
+    def __init__(self, ids: np.ndarray, x: np.ndarray, tree: bytes):
+        self.ids, self.x, self.unit, self.tree = ids, x, unit(x), pickle.loads(tree)
+
+    def search(self, qids: np.ndarray, q: np.ndarray, radius: np.ndarray, k: int, relax: float) -> list[tuple[list[int], list[float]]]:
+        """The k nearest (ids, cosines) found for each query, pruning from its ``radius`` on."""
+        found = self.tree.search(self.unit, unit(q), qids, self.ids, radius, k, relax)
+        own = [[j for j in rows.tolist() if j >= 0] for rows in found]
+        return [(self.ids[rows].tolist(), [cosine(q[at], self.x[j]) for j in rows]) for at, rows in enumerate(own)]
 
 
 def _with_tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for r in batch.to_pylist():
             _, x = unpack(r["ids"], r["dims"], r["rows"], r["dims"])
-            reach = float(np.frombuffer(r["reach"], np.float64).max(initial=0.0))
-            cell = int(np.frombuffer(r["cell"], np.float64)[0])
-            yield pa.RecordBatch.from_pylist([r | {"tree": pickle.dumps(VPTree(unit(x))), "reach": reach, "cell": cell}], pa.schema(
-                [("shard", pa.int64()), ("ids", pa.binary()), ("dims", pa.int32()), ("rows", pa.binary()), ("cell", pa.int64()), ("reach", pa.float64()), ("tree", pa.binary())]))
+            yield pa.RecordBatch.from_pylist([r | {"tree": pickle.dumps(VPTree(unit(x)))}], pa.schema([*batch.schema, ("tree", pa.binary())]))
 
 
-def nearest(vectors: DataFrame, k: int = 5, relax: float = RELAX, id_col: str = "vec_id", vec_col: str = "embedding", shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 5, relax: float = RELAX, id_col: str = "vec_id", vec_col: str = "embedding", shard_rows: int = SHARD_ROWS) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the k nearest found for every query, nearest first.
 
     Queries are the ids divisible by 50, candidates every other id. ``relax`` 1 searches exactly, larger
     values prune more. Vectors that are null, empty, zero, or hold a null or non-finite component take no
     part; shorter vectors count as padded with zeros; of rows repeating an id the smallest vector
     counts. Ties go to the smaller id. No usable vectors, no rows.
+
+    A query first meets the one shard in whose ring it lies, which gives its radius, and then travels to those
+    other shards alone that the radius admits.
     """
     if relax < 1:
         raise ValueError("relax must be at least 1")
@@ -191,27 +175,43 @@ def nearest(vectors: DataFrame, k: int = 5, relax: float = RELAX, id_col: str =
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     centres = pivots_of(rows, dims, n, min(SAMPLE_ROWS // 4, math.ceil(n / shard_rows)))
-    celled = stage(_assign(rows, centres), "vector-cells")
-    sizes = dict(celled.groupBy("cell").count().collect())  # one row a cell
-    parts, first, base = {}, {}, 0
-    for cell in sorted(sizes):
-        parts[cell], first[cell] = math.ceil(sizes[cell] / shard_rows), base
-        base += parts[cell]
-    of = lambda found: F.element_at(F.create_map(*[F.lit(x) for kv in found.items() for x in kv]), F.col("cell"))
-    shard = (of(first) + F.pmod(F.xxhash64("vec_id"), of(parts))).cast("long")
-    dealt = celled.select(shard.alias("shard"), "vec_id", "v", F.col("cell").cast("double").alias("cell"), "reach")
-    shards = stage(pack(dealt, "shard").mapInArrow(_with_tree, "shard long, ids binary, dims int, rows binary, cell long, reach double, tree binary"), "vantage-trees")
-    queries = celled.filter(is_query()).select("vec_id", "v", F.col("cell").cast("double").alias("cell"))
-    n_blocks = max(1, math.ceil(queries.count() / query_rows))
-    parted = queries.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("long"))
-    everywhere = F.array(*[F.lit(i).cast("long") for i in range(base)])
-    start = pack(parted.withColumn("radius", F.lit(float("inf"))), "part").withColumn("to", everywhere)
-    home = stage(_meet(shards, start, centres, k, relax, True), "home-neighbours")
-    kth = ranked(home, k).filter(F.col("rank") == k).select(
-        F.col("query_id").alias("vec_id"), F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("score"))).alias("radius"))
-    known = parted.join(kth, "vec_id", "left").withColumn("radius", F.coalesce("radius", F.lit(float("inf"))))
-    away = _meet(shards, pack(known, "part").withColumn("to", everywhere), centres, k, relax, False)
-    return ranked(home.unionByName(away), k)
+    celled = stage(_assign(enough_of_each(rows, k), centres).withColumnRenamed("reach", "by"), "vector-cells")
+    shards = stage(in_blocks(celled, shard_rows).mapInArrow(
+        lean(_with_tree), "block long, cell long, lo double, hi double, ids binary, dims int, rows binary, tree binary"), "vantage-trees")
+    # one row a shard: its cell, and the ring around the cell's centre that it fills
+    index = shards.select("block", "cell", "lo", "hi").orderBy("block").collect()
+    block, cell, lo, hi = (np.array([r[c] for r in index]) for c in range(4))
+    centre_of, near = centres[cell], np.unique(cell)
+
+    def gaps(q: np.ndarray) -> np.ndarray:
+        """Per query and shard a lower bound of the distance to anything in the shard."""
+        d = np.zeros((len(q), len(centres)))
+        d[:, near] = np.sqrt(np.maximum(0.0, 2 - 2 * unit(q) @ centres[near].T))
+        d = d[:, cell]
+        return np.maximum(0.0, np.maximum(lo - d, d - hi))
+
+    def home_of(ids: np.ndarray, q: np.ndarray, _) -> Iterator[np.ndarray]:
+        for at, gap in enumerate(gaps(q)):
+            d = np.linalg.norm(unit(q[at : at + 1]) - centre_of, axis=1)
+            own = np.where(gap <= gap.min() + SLACK, d, np.inf)
+            ties = np.flatnonzero(own <= own.min() + SLACK)
+            yield block[ties[ids[at] // QUERY_EVERY % len(ties)]][None]
+
+    def admit(ids: np.ndarray, q: np.ndarray, radius: np.ndarray) -> Iterator[np.ndarray]:
+        homes = home_of(ids, q, radius)
+        for gap, own, r in zip(gaps(q), homes, radius, strict=True):
+            yield block[(relax * gap <= r + SLACK) & (block != own[0])]
+
+    def met(queries: DataFrame, to, keep: bool) -> DataFrame:
+        return meet(
+            shards, routed(queries, dims, to), dims, lambda ids, size, data, tree: Shard(*unpack(ids, size, data, dims), tree),
+            lambda shard, ids, q, radius: shard.search(ids, q, radius, k, relax), "double", keep)
+
+    queries = rows.filter(is_query()).select("vec_id", "v", F.lit(float("inf")).alias("bound"))
+    home = stage(met(queries, home_of, True), "home-neighbours")
+    kth = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.array_min("score")))
+    known = home.select("vec_id", "v", F.when(F.size("found") >= k, kth).otherwise(float("inf")).alias("bound"))
+    return ranked(found_rows(home.select("vec_id", "found", "score")).unionByName(found_rows(met(known, admit, False))), k)
 
 
 def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

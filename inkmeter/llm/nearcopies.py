@@ -31,7 +31,7 @@ SAMPLE_ROWS = 2_000
 #: Groups up to this size send their pairs, larger ones go through the rounds.
 DIRECT = 8
 #: Rounds of links to one centre a group before the pairs that are still apart.
-ROUNDS = 3
+ROUNDS = 2
 #: Rows of a group that meet as one block.
 BLOCK = 2_048
 #: Buckets of parities, at least.
@@ -221,7 +221,7 @@ def _block_pairs(rows: DataFrame) -> DataFrame:
                     found.add((a, b))
         yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    sizes = rows.groupBy("h").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sizes = broadcast_if_small(stage(rows.groupBy("h").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "group-sizes"))  # one row a group
     own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     dealt = rows.join(sizes, "h").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "h", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "n", "key", "pos", "label", "own", "bits")
@@ -298,7 +298,8 @@ def join_labels(docs: DataFrame, texts: DataFrame, labels: DataFrame, id_col: st
         # one centre a group, the same in all groups that hold it
         rows = large.join(broadcast_if_small(labels), "key")
         centre = rows.groupBy("h").agg(F.min(F.struct(F.xxhash64("key", F.lit(nth)).alias("o"), "key", "n", "pos", "label")).alias("c")).select("h", "c.*")
-        pairs = rows.alias("x").join(centre.alias("y"), "h").filter((F.col("x.label") != F.col("y.label")) & _allowed("x", "y"))
+        centre = stage(centre, "group-centres")
+        pairs = rows.alias("x").join(broadcast_if_small(centre).alias("y"), "h").filter((F.col("x.label") != F.col("y.label")) & _allowed("x", "y"))
         pairs = pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
         labels = linked(apart(_by_parities(pairs, slim), labels), labels)
     rows = large.join(broadcast_if_small(labels), "key")

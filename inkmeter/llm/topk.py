@@ -1,15 +1,14 @@
 """Exact top-k inner products: norm-sorted blocks with SVD-rotated partial sums.
 
 Vectors are cut into bounded blocks by descending length. The queries first meet the block of the
-longest vectors, which gives each a threshold. Every other block is skipped for a query if its largest
-length times the query's is below the threshold; otherwise the leading coordinates in the basis of
-the corpus' singular vectors are summed, and a vector is dropped once its partial sum plus the
-Cauchy-Schwarz bound on the rest falls below the threshold. What is left is scored in integers.
+longest vectors, which gives each a threshold. A query then travels only to the blocks whose largest
+length times the query's reaches its threshold. There the leading coordinates in the basis of the corpus'
+singular vectors are summed, and a vector is dropped once its partial sum plus the Cauchy-Schwarz bound
+on the rest falls below the threshold. What is left is scored in exact integers.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,22 +16,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, stage
-from .vectors import best, is_query, matrix, once, pack, ranked, unpack, usable
+from .common import lean, load, stage
+from .vectors import best, enough_of_each, found_rows, in_blocks, is_query, matrix, meet, once, ranked, routed, unpack, usable
 
 SCALE = 256
-#: Largest component that is told apart; sums over up to 127 of them stay within a long.
-LIMIT = 1 << 28
-BLOCK_ROWS = 32_768
-QUERY_ROWS = 2_048
-_FOUND = "query_id long, vec_id long, score long"
+#: Components whose 256-fold reaches this raise: their squares would leave a double.
+WIDEST = 2.0**500
+BLOCK_ROWS = 4_096
+LONG = 1 << 63
 
 
 def integers(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """``(vec_id, v, length)`` with components floor(256·x), limited to ±2^28."""
-    scaled = F.transform("v", lambda x: F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), F.floor(F.greatest(F.lit(-2.0 * LIMIT), F.least(F.lit(2.0 * LIMIT), x * SCALE))))).cast("double"))
+    """``(vec_id, v, length)`` with components floor(256·x) as doubles, which hold each of them exactly."""
+    # from 2^53 on a double is a whole number itself
+    scaled = F.transform("v", lambda x: F.when(F.abs(x) * SCALE < 2.0**53, F.floor(x * SCALE).cast("double")).otherwise(x * SCALE))
     rows = once(usable(vectors, id_col, vec_col)).select("vec_id", scaled.alias("v"))
-    return rows.withColumn("length", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    too_wide = F.raise_error(F.concat(F.lit("vector "), F.col("vec_id").cast("string"), F.lit(" has a component of 2^500 / 256 or more"))).cast("double")
+    return rows.withColumn("length", F.when(F.exists("v", lambda x: F.abs(x) >= WIDEST), too_wide).otherwise(length))
 
 
 def rotation(rows: DataFrame, dims: int) -> np.ndarray:
@@ -48,53 +49,62 @@ def rotation(rows: DataFrame, dims: int) -> np.ndarray:
     gram = np.zeros(dims * dims)
     for at, x in rows.select("v").mapInArrow(run, "at int, x double").groupBy("at").agg(F.sum("x")).collect():
         gram[at] = x
+    gram /= max(1.0, np.abs(gram).max())
     return np.linalg.eigh(gram.reshape(dims, dims))[1][:, ::-1].copy()
 
 
-def search_block(x: np.ndarray, ids: np.ndarray, q: np.ndarray, qids: np.ndarray, floor: np.ndarray, basis: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
-    """The up to k best (query, vector, score) of each query in one block that reach the query's ``floor``."""
-    dims, lengths, qlengths = x.shape[1], np.linalg.norm(x, axis=1), np.linalg.norm(q, axis=1)
-    slack = 1e-9 * (1 + lengths.max(initial=0.0) * qlengths)  # rounding of the rotated sums
-    live = np.flatnonzero(lengths.max(initial=0.0) * qlengths + slack >= floor)
-    if not len(live) or not len(ids):
-        return
-    xr, qr = x @ basis, q[live] @ basis
-    cuts = sorted({max(1, dims // 4), max(1, dims // 2)})
-    rest_x = {h: np.linalg.norm(xr[:, h:], axis=1) for h in cuts}
-    exact = x.astype(np.int64)
-    for i, at in enumerate(live):
-        own, partial, done = np.arange(len(ids)), np.zeros(len(ids)), 0
-        for h in cuts:
-            partial = partial + xr[own, done:h] @ qr[i, done:h]
-            keep = partial + rest_x[h][own] * np.linalg.norm(qr[i, h:]) + slack[at] >= floor[at]
+class Block:
+    """A block's vectors, rotated, with the lengths of what partial sums leave out."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, basis: np.ndarray):
+        self.ids, self.x, self.basis, dims = ids, x, basis, x.shape[1]
+        self.lengths = np.linalg.norm(x, axis=1)
+        self.longest = self.lengths.max(initial=0.0)
+        self.rotated = x @ basis
+        self.cuts = sorted({max(1, dims // 4), max(1, dims // 2)})
+        self.rest = {h: np.linalg.norm(self.rotated[:, h:], axis=1) for h in self.cuts}
+
+    def scores(self, own: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Exact inner products with rows ``own``: as doubles or longs while no sum can outgrow them, else as whole numbers of any size."""
+        x, bound = self.x[own], self.longest * np.linalg.norm(q) * (1 + 1e-9)
+        if bound < 2.0**52:
+            return (x @ q).astype(np.int64)
+        if bound < 2.0**62:
+            return x.astype(np.int64) @ q.astype(np.int64)
+        whole = [int(c) for c in q]
+        return np.array([sum(int(a) * b for a, b in zip(row, whole, strict=True)) for row in x.tolist()], object)
+
+    def search(self, qid: int, q: np.ndarray, floor: float, k: int) -> tuple[list[int], list[int]]:
+        """The up to k best (ids, scores) that reach ``floor``."""
+        length = np.linalg.norm(q)
+        slack = 1e-9 * (1 + self.longest * length)  # rounding of the rotated sums
+        if self.longest * length + slack < floor:
+            return [], []
+        rotated = q @ self.basis
+        own, partial, done = np.arange(len(self.ids)), np.zeros(len(self.ids)), 0
+        for h in self.cuts:
+            partial = partial + self.rotated[own, done:h] @ rotated[done:h]
+            keep = partial + self.rest[h][own] * np.linalg.norm(rotated[h:]) + slack >= floor
             own, partial, done = own[keep], partial[keep], h
-        own = own[ids[own] != qids[at]]
-        score = exact[own] @ q[at].astype(np.int64)
-        for j in best(score, ids[own], k):
-            yield int(qids[at]), int(ids[own[j]]), int(score[j])
-
-
-def _meet(blocks: DataFrame, queries: DataFrame, dims: int, basis: np.ndarray, k: int) -> DataFrame:
-    """Every query block against every vector block, a pair of blocks a row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                ids, x = unpack(r["ids"], r["dims"], r["rows"], dims)
-                qids, q = unpack(r["q_ids"], r["q_dims"], r["q_rows"], dims)
-                found = list(search_block(x, ids, q, qids, np.frombuffer(r["floor"], np.float64), basis, k))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else ([], [], []))], ["query_id", "vec_id", "score"])
-
-    sent = queries.select(F.col("ids").alias("q_ids"), F.col("dims").alias("q_dims"), F.col("rows").alias("q_rows"), "floor", F.explode("to").alias("block"))
-    return blocks.join(sent, "block").mapInArrow(run, _FOUND)
-
-
-def top_k(vectors: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+        own = own[self.ids[own] != qid]
+        score = self.scores(own, q)
+        if score.dtype == object:
+            top = sorted(range(len(own)), key=lambda j: (-score[j], self.ids[own[j]]))[:k]
+            if any(not -LONG <= score[j] < LONG for j in top):
+                raise OverflowError(f"a score of query {qid} does not fit in a long")
+        else:
+            top = best(score, self.ids[own], k)
+        return [int(self.ids[own[j]]) for j in top], [int(score[j]) for j in top]
+
+
+def top_k(vectors: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the k largest integer inner products of every query, exactly.
 
     Queries are the ids divisible by 50. Vectors that are null, empty or hold a null or non-finite
     component take no part; shorter vectors count as padded with zeros; of rows repeating an id the
-    smallest vector counts. Ties go to the smaller id. No usable vectors, no rows.
+    smallest vector counts. Ties go to the smaller id. No usable vectors, no rows. Scores are exact whatever
+    the size of the components; one among the k best of a block that does not fit in a long raises, and so
+    does a component of 2^500 / 256 or more.
     """
     spark = vectors.sparkSession
     rows = stage(integers(vectors, id_col, vec_col), "integer-vectors")
@@ -102,32 +112,35 @@ def top_k(vectors: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str =
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     basis = rotation(rows, dims)
-    n_blocks = max(1, math.ceil(n / block_rows))
-    # lengths at the cuts between blocks: one number a block; ties and drift are evened out by a salt
-    cuts = rows.approxQuantile("length", [i / n_blocks for i in range(1, n_blocks)], 0.1 / n_blocks) if n_blocks > 1 else []
-    place = F.lit(0).cast("long")
-    if cuts:
-        edges = F.array(*[F.lit(float(c)) for c in sorted(cuts, reverse=True)])
-        place = F.size(F.filter(edges, lambda e: F.col("length") < e)).cast("long")
-    placed = rows.select("vec_id", "v", place.alias("band"))
-    sizes = dict(placed.groupBy("band").count().collect())  # one row a block
-    parts, first, base = {}, {}, 0
-    for band in sorted(sizes):
-        parts[band], first[band] = max(1, math.ceil(sizes[band] / (2 * block_rows))), base
-        base += parts[band]
-    of = lambda found: F.element_at(F.create_map(*[F.lit(x) for kv in found.items() for x in kv]), F.col("band"))
-    blocked = placed.withColumn("block", (of(first) + F.pmod(F.xxhash64("vec_id"), of(parts))).cast("long")).select("block", "vec_id", "v")
-    blocks = stage(pack(blocked, "block"), "vector-blocks")
+    few = stage(enough_of_each(rows, k), "distinct-vectors")
+    blocks = stage(in_blocks(few.select(F.lit(0).cast("long").alias("cell"), (-F.col("length")).alias("by"), "vec_id", "v"), block_rows), "vector-blocks")
+    # one row a block; "by" is the negative length, so the first one is the longest
+    index = blocks.select("block", (-F.col("lo")).alias("longest")).orderBy(F.desc("longest"), "block").collect()
+    numbers, longest = np.array([r.block for r in index]), np.array([r.longest for r in index])
+    head = spark.sparkContext.broadcast(blocks.filter(F.col("block") == int(numbers[0])).select("ids", "dims", "rows").first())  # at most block_rows vectors
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = Block(*unpack(*head.value, dims), basis)
+        for batch in batches:
+            ids, q = batch.column(0).to_numpy(), matrix(batch.column(1), dims)
+            hits = [block.search(int(i), own, float("-inf"), k) for i, own in zip(ids, q, strict=True)]
+            floor = [float(h[1][-1]) if len(h[1]) == k else float("-inf") for h in hits]
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), batch.column(1), pa.array(floor, pa.float64()), pa.array([h[0] for h in hits], pa.list_(pa.int64())),
+                pa.array([h[1] for h in hits], pa.list_(pa.int64()))], ["vec_id", "v", "bound", "found", "score"])
+
     queries = rows.filter(is_query()).select("vec_id", "v")
-    n_query_blocks = max(1, math.ceil(queries.count() / query_rows))
-    dealt = queries.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(n_query_blocks)).cast("long"))
-    to = lambda a, b: F.array(*[F.lit(i).cast("long") for i in range(a, b)]) if b > a else F.array().cast("array<long>")
-    open_floor = pack(dealt.withColumn("floor", F.lit(float("-inf"))), "part").withColumn("to", to(0, 1))
-    head = stage(_meet(blocks, open_floor, dims, basis, k), "head-scores")
-    floors = ranked(head, k).filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("floor"))
-    known = dealt.join(floors, "vec_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-    others = _meet(blocks, pack(known, "part").withColumn("to", to(1, base)), dims, basis, k)
-    return ranked(head.unionByName(others), k)
+    known = stage(queries.mapInArrow(lean(first), "vec_id long, v array<double>, bound double, found array<long>, score array<long>"), "head-scores")
+
+    def admit(ids: np.ndarray, q: np.ndarray, floor: np.ndarray) -> Iterator[np.ndarray]:
+        for length, least in zip(np.linalg.norm(q, axis=1), floor, strict=True):
+            reach = longest * length
+            yield numbers[1 : max(1, int(np.count_nonzero(reach + 1e-9 * (1 + reach) >= least)))]
+
+    others = meet(
+        blocks, routed(known, dims, admit), dims, lambda ids, size, data, _: Block(*unpack(ids, size, data, dims), basis),
+        lambda block, ids, q, floor: [block.search(int(i), own, f, k) for i, own, f in zip(ids, q, floor, strict=True)], "long")
+    return ranked(found_rows(known.select("vec_id", "found", "score")).unionByName(found_rows(others)), k)
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
