@@ -2,9 +2,10 @@
 
 One pass over the texts finds the base spans (assignments, access keys, long hex) and further
 credential-shaped tokens that no keyword announces. Candidate values are then counted over the whole
-corpus by distinct owners (``source``) and distinct repositories (``doc_id``): a value that many owners
-share is a copied example, one that few owners hold and that looks random is live. Bare tokens count
-as secrets only if they are live, so the base spans always stay and the method only adds.
+corpus by distinct owners (``source``) and distinct repositories (texts; whole copies are one, as forks
+are): a value that many owners share, or very many repositories of few owners, is a copied example; one that
+is specific to its owners is live. Bare tokens count as secrets only if they are live and look random, so the
+base spans always stay and the method only adds.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,6 +26,8 @@ from .common import broadcast_if_small, lean, load, small_batches, stage, whole_
 KINDS = ("assign", "access", "hex", "token", "jwt", "pem", "bare")
 #: A value seen at more owners than this is a widely copied example.
 MAX_OWNERS = 3
+#: So is one in more repositories than this, whoever owns them.
+MAX_REPOSITORIES = 100
 #: Bits per character from which a bare token looks random.
 MIN_ENTROPY = 3.5
 MASK = "[SECRET]"
@@ -33,7 +37,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")  # runs are maximal, so the length bound can stand in the pattern
 _MORE = (
     ("token", re.compile(r"(?a)\b(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})")),
-    ("jwt", re.compile(r"(?a)\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}")),
+    ("jwt", re.compile(r"(?a)(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}")),
     # to the END line, else over the base64 lines that follow (line ends may be written as \n), else the header alone
     ("pem", re.compile(
         r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:(?P<whole>(?s:(?!-----(?:BEGIN|END) ).)*)-----END [A-Z ]{0,40}PRIVATE KEY-----"
@@ -57,16 +61,30 @@ def base_spans(text: str) -> list[tuple[int, int, int, int]]:
     return sorted(found)
 
 
+def _union(spans: list[tuple[int, int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the disjoint stretches that spans cover, ascending."""
+    starts, ends = [], []
+    for a, _, b, _ in sorted(spans):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 def more_spans(text: str, taken: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
     """Candidates of the further kinds that overlap no base span; private keys also where they do."""
     found: list[tuple[int, int, int, int]] = []
     for k, (kind, pattern) in enumerate(_MORE, 3):
+        # a key stays whole where a base span or token touches it; spans of one kind never overlap
+        starts, ends = _union(found if kind == "pem" else taken + found)
         for m in pattern.finditer(text):
             a, b = m.span()
             if kind == "bare" and (not _DIGIT_AND_LETTER.match(m[0]) or entropy(m[0]) < MIN_ENTROPY):
                 continue
-            # a key stays whole where a base span or token touches it
-            if kind == "pem" or not any(a < y[2] and y[0] < b for y in taken) and not any(a < y[2] and y[0] < b for y in found):
+            at = bisect_left(starts, b) - 1  # the last stretch that starts before this one ends
+            if at < 0 or ends[at] <= a:
                 found.append((a, k, b, a))
     return found
 
@@ -122,19 +140,20 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     return stage(picked.mapInArrow(lean(_scan), _SCAN_DDL), "secret-scan")
 
 
-def ownership(scanned: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
+def ownership(scanned: DataFrame, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """Per candidate value: distinct owners and repositories over the corpus, and whether it looks live.
 
-    Distinct (value, owner) and (value, repository) pairs are formed before counting, so a value that
-    fills a third of the corpus is combined map-side and never gathers in one task.
+    A repository is a distinct text, so that copies of a document count once. Distinct (value, owner) and (value,
+    repository) pairs are formed before counting, so a value that fills a third of the corpus is combined
+    map-side and never gathers in one task.
     """
-    seen = scanned.select("owner", "doc_id", F.explode("spans").alias("s")).select(F.col("s.value").alias("value"), "owner", "doc_id")
+    seen = scanned.select("owner", "key", F.explode("spans").alias("s")).select(F.col("s.value").alias("value"), "owner", "key")
     owners = seen.select("value", F.coalesce("owner", F.lit("")).alias("owner")).distinct().groupBy("value").agg(F.count("*").alias("owners"))
-    repos = seen.select("value", "doc_id").distinct().groupBy("value").agg(F.count("*").alias("repositories"))
-    return owners.join(repos, "value").withColumn("live", F.col("owners") <= max_owners)
+    repos = seen.select("value", "key").distinct().groupBy("value").agg(F.count("*").alias("repositories"))
+    return owners.join(repos, "value").withColumn("live", (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories))
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", max_owners: int = MAX_OWNERS) -> DataFrame:
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """All spans of every row with their ownership verdicts.
 
     Returns ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, key, found``, one row
@@ -142,7 +161,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     one owner of its own. Repeated rows are reported each and count once. Extra columns are ignored.
     """
     scanned = scan(docs, id_col, text_col, owner_col)
-    verdicts = ownership(scanned, max_owners)
+    verdicts = ownership(scanned, max_owners, max_repositories)
     # only rows that hold a candidate meet the verdicts; one row per (id, text)
     held = (
         scanned.filter(F.size("spans") > 0).dropDuplicates(["doc_id", "key"])
@@ -164,12 +183,12 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", max_owners: int = MAX_OWNERS) -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """``docs`` with every live-looking span replaced by ``[SECRET]``; all rows and columns stay.
 
     Widely copied examples are left as they are. Null text stays null.
     """
-    hits = find_secrets(docs, id_col, text_col, owner_col, max_owners).select("doc_id", "key", F.filter("found", lambda x: x["live"]).alias("cuts"))
+    hits = find_secrets(docs, id_col, text_col, owner_col, max_owners, max_repositories).select("doc_id", "key", F.filter("found", lambda x: x["live"]).alias("cuts"))
     hits = stage(hits.filter(F.size("cuts") > 0).dropDuplicates(["doc_id", "key"]), "secret-hits")
     text = F.col("t")
     # rebuilt left to right; overlapping spans merge because a cut never moves back

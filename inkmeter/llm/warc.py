@@ -63,11 +63,17 @@ def digest_of(payload: bytes) -> str:
 
 
 def gzip_member(data: bytes, level: int = 4) -> bytes:
-    """One gzip member whose extra field ``sl`` holds (length of the member, length of the data)."""
+    """One gzip member whose extra field ``sl`` holds (length of the member, length of the data).
+
+    The field has 32 bits: a record of 4 GiB or more goes without it, and readers inflate it to find its end.
+    """
     z = zlib.compressobj(level, zlib.DEFLATED, -15)
     body = z.compress(data) + z.flush()
     total = 10 + 2 + 12 + len(body) + 8
-    head = b"\x1f\x8b\x08\x04\x00\x00\x00\x00\x00\xff" + struct.pack("<H2sHII", 12, b"sl", 8, total & 0xFFFFFFFF, len(data) & 0xFFFFFFFF)
+    if max(total, len(data)) < 1 << 32:
+        head = b"\x1f\x8b\x08\x04\x00\x00\x00\x00\x00\xff" + struct.pack("<H2sHII", 12, b"sl", 8, total, len(data))
+    else:
+        head = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff"
     return head + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
 
 
@@ -207,30 +213,43 @@ class _Inflater:
         return self.next - len(self.z.unused_data) + 8
 
 
-def _sync(file, at: int, size: int) -> int:
-    """First record start at or after ``at``."""
-    overlap = b""
-    while at < size:
-        file.seek(at)
-        data = overlap + file.read(_CHUNK)
-        base = at - len(overlap)
-        i = 0
-        while (found := min((x for x in (data.find(b"\x1f\x8b\x08", i), data.find(b"WARC/1.", i)) if x >= 0), default=-1)) >= 0:
-            try:
-                if _Inflater(file, base + found).read(8)[:7] == b"WARC/1.":
-                    return base + found
-            except (zlib.error, struct.error):
-                pass
-            i = found + 1
-        at, overlap = base + len(data), data[-8:]
-    return size
+def _next(file, at: int) -> int:
+    """Where the record after the one at ``at`` starts, by stated lengths; a payload is inflated only if its member states none."""
+    record = _Inflater(file, at)
+    if record.gz:
+        return record.end()
+    data = b""
+    while (stop := data.find(b"\r\n\r\n")) < 0 and (more := record.read(_HEADER_BYTES)):
+        data += more
+    if stop < 0:
+        return file.size()
+    return at + stop + 4 + int(_parse(data[:stop]).get("content-length", 0)) + 4
+
+
+def _first(file, start: int) -> int:
+    """First record start at or after ``start``.
+
+    Found by walking from record to record: a payload may hold anything, whole archives among them, so what looks
+    like a record in the middle of a file need not be one.
+    """
+    at, size = 0, file.size()
+    while at < min(start, size):
+        at = _next(file, at)
+    return at
+
+
+def _can_split(fs: pafs.FileSystem, path: str) -> bool:
+    """Whether records can be walked without inflating them: plain ones and members that state their length."""
+    with fs.open_input_file(path) as file:
+        record = _Inflater(file, 0)
+        return not record.gz or record.skip_to is not None
 
 
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]
         self.mode = options.get("payload", "binary")
-        self.split = int(options.get("splitbytes", 64 << 20))
+        self.split = int(options.get("splitbytes", 512 << 20))
         if self.mode not in ("binary", "digest", "none"):
             raise ValueError("option payload must be binary, digest or none")
         self.tests: list[tuple[str, str, object]] = []
@@ -255,9 +274,11 @@ class WarcReader(DataSourceReader):
         files = [fs.get_file_info(root)]
         if files[0].type == pafs.FileType.Directory:
             files = [x for x in fs.get_file_info(pafs.FileSelector(root)) if x.type == pafs.FileType.File and x.base_name.endswith((".warc", ".warc.gz"))]
+        # a conventional archive of a gigabyte or less is one partition or two; only larger ones are looked into
+        step = lambda x: self.split if x.size <= self.split or _can_split(fs, x.path) else x.size
         return [
-            _Split(x.path, a, min(a + self.split, x.size))
-            for x in sorted(files, key=lambda x: x.path) for a in range(0, x.size, self.split)
+            _Split(x.path, a, min(a + step(x), x.size))
+            for x in sorted(files, key=lambda x: x.path) for a in range(0, x.size, step(x))
         ] or [_Split("", 0, 0)]
 
     def _wanted(self, head: dict[str, str]) -> bool:
@@ -273,7 +294,7 @@ class WarcReader(DataSourceReader):
         fs, _ = open_fs(self.path)
         with fs.open_input_file(partition.path) as file:
             size = file.size()
-            at = _sync(file, partition.start, size) if partition.start else 0
+            at = _first(file, partition.start)
             while at < min(partition.end, size):
                 record = _Inflater(file, at)
                 data = b""

@@ -1,6 +1,8 @@
 import hashlib
 import random
 import re
+import time
+from collections import defaultdict
 
 from inkmeter.llm import secrets
 from tests.llm.helpers import awkward, docs
@@ -89,3 +91,38 @@ def test_private_keys_are_told_apart_by_their_bodies(spark):
     assert all(red[i] == f"key ü {secrets.MASK} after" for i in range(8)) and red[20] == rows[8][1]
     assert red[40] == f"cut off {secrets.MASK}\nand so on"
     assert red[41] == f"{secrets.MASK}\\n'" and red[42] == f"{secrets.MASK} twice {secrets.MASK}"
+
+
+def test_ownership_against_brute_force_on_the_driver_table(spark, small):
+    rows = [(r.doc_id, r.text or "", r.source or "") for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    spans = {d: sorted(base + secrets.more_spans(t, base)) for d, t, _ in rows for base in [secrets.base_spans(t)]}
+    owners, repositories = defaultdict(set), defaultdict(set)
+    for d, t, source in rows:
+        for span in spans[d]:
+            owners[secrets.secret_value(t, span)].add(source)
+            repositories[secrets.secret_value(t, span)].add(t)
+    for most_owners, most_repositories in ((3, 100), (1, 100), (3, 1)):
+        got = {r.doc_id: (r.spans, r.n_live) for r in secrets.find_secrets(spark.read.parquet(f"{small}/documents.parquet"), max_owners=most_owners, max_repositories=most_repositories).collect()}
+        for d, t, _ in rows:
+            live = {s: len(owners[v]) <= most_owners and len(repositories[v]) <= most_repositories for s in spans[d] for v in [secrets.secret_value(t, s)]}
+            assert got[d] == (secrets.joined([s for s in spans[d] if s[1] < 3 or live[s]]), sum(live.values()))
+
+
+def test_owners_and_repositories_each_flip_the_verdict(spark):
+    token = lambda c: f"ghp_{c * 18}{'9' * 18}"
+    rows = [(i, f"text {i} holds {token('a')}", "en", f"owner{i}") for i in range(4)]  # four owners
+    rows += [(100 + i, f"text {i} holds {token('b')}", "en", "one") for i in range(101)]  # one owner, 101 texts
+    rows += [(300 + i, f"one text copied with {token('c')}", "en", "one") for i in range(150)]  # one owner, copies of one text
+    rows += [(500 + i, f"text {i} holds {token('d')}", "en", f"owner{i % 3}") for i in range(100)]  # at both limits
+    got = {r.doc_id: r.n_live for r in secrets.find_secrets(docs(spark, rows)).collect()}
+    assert {d for d, n in got.items() if n} == set(range(300, 450)) | set(range(500, 600))
+
+
+def test_long_texts_take_linear_time():
+    texts = [["password = hunter2hunter2 and ghp_" + "a1B2" * 9 + " then " + "Zk3" * 9 + "x\n"] * 13_000, ["eyJabcdefgh1-"] * 80_000, ["-----BEGIN PRIVATE KEY-----\n"] * 40_000]
+    for parts in texts:
+        text = "".join(parts)
+        assert len(text) > 1_000_000
+        began = time.process_time()
+        secrets.more_spans(text, secrets.base_spans(text))
+        assert time.process_time() - began < 2

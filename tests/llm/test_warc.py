@@ -1,6 +1,7 @@
 import base64
 import gzip
 import hashlib
+import zlib
 from collections import defaultdict
 
 from pyspark.sql import functions as F
@@ -83,3 +84,34 @@ def test_payload_is_not_read_when_unwanted(spark):
     warc.write_pages(spark.createDataFrame([(1, "u", "x" * 1000)], PAGES), path)
     r = warc.read_warc(spark, path, "none").first()
     assert r.payload is None and r.payload_bytes == 1000
+
+
+def _record(nth, payload):
+    return (f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:x:{nth}>\r\nContent-Type: text/plain\r\nContent-Length: {len(payload)}\r\n\r\n").encode() + payload + b"\r\n\r\n"
+
+
+def test_splits_take_no_quoted_record_for_a_record(spark, tmp_path):
+    inner = _record(99, b"quoted") * 3
+    payloads = [b"first " * 20, inner, warc.gzip_member(inner, 0) * 3, b"", inner[:-9], b"WARC/1.0\r\n" * 30, b"last" * 50]
+    records = [_record(i, p) for i, p in enumerate(payloads)]
+    bare = [zlib.compressobj(6, zlib.DEFLATED, 31) for _ in records]
+    kinds = {
+        "plain.warc": b"".join(records), "stored.warc.gz": b"".join(warc.gzip_member(r, 0) for r in records),
+        "packed.warc.gz": b"".join(warc.gzip_member(r, 6) for r in records),
+        "unmarked.warc.gz": b"".join(z.compress(r) + z.flush() for z, r in zip(bare, records, strict=True)),
+    }
+    warc.register(spark)
+    for name, data in kinds.items():
+        path = tmp_path / name
+        path.write_bytes(data)
+        for split in (1 << 20, len(data) // 2, 300, 97):
+            got = spark.read.format("warc").option("splitbytes", split).load(str(path)).select("record_id", "payload").collect()
+            assert sorted((r.record_id, bytes(r.payload)) for r in got) == [(f"<urn:x:{i}>", p) for i, p in enumerate(payloads)], (name, split)
+
+
+def test_a_record_too_long_for_the_length_field_goes_without_it(monkeypatch):
+    data = _record(1, b"x" * 1000)
+    assert b"sl" in warc.gzip_member(data)[:16]
+    real = len
+    monkeypatch.setattr(warc, "len", lambda x: 1 << 32 if x is data else real(x), raising=False)
+    assert b"sl" not in warc.gzip_member(data)[:16]
