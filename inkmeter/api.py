@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterable
 from dataclasses import dataclass, field
@@ -14,18 +15,31 @@ from inkmeter.sources import parse
 
 @dataclass(frozen=True)
 class ExtractedText:
-    """Text of a file as the segments it came in, joined by ``joiner``; or one text without segments."""
+    """Text of a file as the segments it came in, joined by ``joiner``; or one text without segments.
+
+    Raises on a text that is not in the normal form ``form``, on a malformed id and on an unknown joiner.
+    """
 
     segments: tuple[tuple[str | None, str], ...] = field(default=())
     joiner: str = "\n"
+    form: str = "nfc_sbb"
+
+    def __post_init__(self):
+        if self.joiner not in ("", " ", "\n"):
+            raise ValueError(f"unknown joiner {self.joiner!r}")
+        for own, text in self.segments:
+            if own is not None and not re.match(r"[\w-]+", own):
+                raise ValueError(f"segment id {own!r} is malformed")
+            if plain_value(text, self.form) != text:
+                raise ValueError(f"text of segment {own!r} is not in the normal form {self.form}")
 
     @classmethod
     def from_str(cls, text: str, form: str = "nfc_sbb") -> ExtractedText:
-        return cls(((None, plain_value(text, form)),))
+        return cls(((None, plain_value(text, form)),), form=form)
 
     @classmethod
     def from_segments(cls, segments: Iterable[parse.Segment], form: str = "nfc_sbb") -> ExtractedText:
-        return cls(tuple((own, plain_value(text, form)) for _, own, text in segments))
+        return cls(tuple((own, plain_value(text, form)) for _, own, text in segments), form=form)
 
     @property
     def text(self) -> str:

@@ -8,6 +8,7 @@ and horizontal difference bits; only every √n-th column is kept and the others
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from collections.abc import Iterator, Sequence
 
@@ -15,7 +16,14 @@ import regex
 
 _CLUSTER = regex.compile(r"(?s)\X")
 _WORD_BREAK = regex.compile(r"(?wV1)\b")
+_JOINING = re.compile("[^\x00-\u02ff]|\r\n")
+# letters, decimal digits and the signs whose word-break class is plain; of these, marks between letters or digits join
+_LATIN = re.compile("[\n !-9;-~À-ÖØ-öø-ɏ–—‘’“”„]*")
+_A, _N = "A-Za-zÀ-ÖØ-öø-ɏ", "0-9"
+_LATIN_WORD = re.compile(f"[{_A}{_N}_](?:[{_A}{_N}_]|(?<=[{_A}])[.'‘’](?=[{_A}])|(?<=[{_N}])[,;.'‘’](?=[{_N}]))*")
 _PRIVATE = regex.compile("[\ue000-\uf8ff]")
+#: The library keeps an apostrophe with a vowel that follows it, which UAX #29 does not.
+_LEADING = regex.compile(r"^(?:['’]\p{M}*)+(?=.)")
 #: A segment without any character outside these categories is no word.
 _WORDLIKE = regex.compile(r"[^\p{M}\p{P}\p{Z}\p{S}\p{Cc}\p{Cf}]")
 
@@ -25,18 +33,21 @@ def nfc(text: str) -> str:
 
 
 def graphemes(text: str) -> list[str]:
-    """UAX #29 extended grapheme clusters."""
-    return _CLUSTER.findall(text)
+    """UAX #29 extended grapheme clusters. Below U+0300, and without CR LF, every code point is one."""
+    return _CLUSTER.findall(text) if _JOINING.search(text) else list(text)
 
 
 def words(text: str) -> list[str]:
     """UAX #29 word segments that hold a letter, digit or other word-like character.
 
-    Private-use characters count as letters: they are masked one to one before the text is segmented.
+    Private-use characters count as letters: they are masked one to one before the text is segmented. Texts of
+    common Latin characters are matched by one pattern that says the same.
     """
+    if _LATIN.fullmatch(text):
+        return [w for w in _LATIN_WORD.findall(text) if w.strip("_")]
     out, at = [], 0
     for piece in _WORD_BREAK.split(_PRIVATE.sub("a", text)):
-        own = text[at : at + len(piece)]
+        own = _LEADING.sub("", text[at : at + len(piece)])
         at += len(piece)
         if _WORDLIKE.search(own):
             out.append(own)
@@ -131,6 +142,12 @@ def edit_script(a: Sequence[str], b: Sequence[str]) -> list[tuple[str, int, int]
     return ops[::-1]
 
 
+def differing(a: Sequence[str], b: Sequence[str]) -> Iterator[tuple[str | None, str | None]]:
+    """The unequal pairs of ``align``, in order."""
+    for op, p, q in edit_script(a, b):
+        yield None if op == "insert" else a[p], None if op == "delete" else b[q]
+
+
 def align(a: Sequence[str], b: Sequence[str]) -> list[tuple[str | None, str | None]]:
     """Pairs of aligned tokens; a deletion has no right, an insertion no left side."""
     out: list[tuple[str | None, str | None]] = []

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from inkmeter.functions import kernels
 
 
 def alignment_rows(pairs: DataFrame, alignment: str, *keys: str) -> DataFrame:
@@ -29,9 +37,44 @@ def key_of(gt: Column, ocr: Column) -> Column:
 
 
 def difference_map(alignment: Column) -> Column:
-    """Counted differences of one alignment as a map, in order of first occurrence, without leaving the row."""
+    """Counted differences of one alignment as a map, in order of first occurrence, without leaving the row.
+
+    Only the differing pairs' keys are handed to Python, which counts them in one pass.
+    """
     keys = F.transform(F.filter(alignment, lambda a: ~a["gt"].eqNullSafe(a["ocr"])), lambda a: key_of(a["gt"], a["ocr"]))
-    return F.map_from_entries(F.transform(F.array_distinct(keys), lambda k: F.struct(k, F.size(F.filter(keys, lambda x: x == k)).cast("long"))))
+    return F.map_from_entries(_counted(keys))
+
+
+_COUNTED = T.ArrayType(T.StructType([T.StructField("key", T.StringType(), False), T.StructField("value", T.LongType())]), False)
+
+
+@F.pandas_udf(_COUNTED)
+def _counted(keys: pd.Series) -> pd.Series:
+    return keys.map(lambda own: [{"key": k, "value": n} for k, n in Counter(own).items()], na_action="ignore")
+
+
+def count_text_differences(pairs: DataFrame, gt: str = "gt", ocr: str = "ocr") -> DataFrame:
+    """``(level, gt, ocr, n)`` over all pairs of texts, composed first, for clusters and words.
+
+    Texts are aligned where they lie, and each Arrow batch leaves a task as its distinct differences: no alignment
+    crosses into the JVM and no matching token is ever a row. Pairs with a null side count nothing.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: Counter = Counter()
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if x is None or y is None or x == y:
+                    continue
+                x, y = kernels.nfc(x), kernels.nfc(y)
+                for level, tokens in (("character_level", kernels.graphemes), ("word_level", kernels.words)):
+                    found.update((level, *pair) for pair in kernels.differing(tokens(x), tokens(y)))
+            rows = list(found)
+            cols = [pa.array([r[k] for r in rows], pa.string()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(list(found.values()), pa.int64())], ["level", "gt", "ocr", "n"])
+
+    counted = pairs.select(gt, ocr).mapInArrow(run, "level string, gt string, ocr string, n long")
+    return counted.groupBy("level", "gt", "ocr").agg(F.sum("n").alias("n"))
 
 
 def segment_spans(segments: DataFrame, *keys: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkmeter.functions.strings import common_suffix, removesuffix
@@ -12,9 +12,20 @@ def _sided(df: DataFrame, side: str, keep: tuple[str, ...]) -> DataFrame:
     return df.select(*keep, F.struct(*df.columns).alias(side))
 
 
+def _name(key: str, by_stem: bool) -> Column:
+    """The name that files pair by: their own, or its stem up to the first dot."""
+    return F.regexp_replace(key, r"\..*$", "") if by_stem else F.col(key)
+
+
+def with_partner(files: DataFrame, others: DataFrame, key: str = "file_name", by_stem: bool = False) -> DataFrame:
+    """The files whose name the other folder holds as well; of the others only names are read."""
+    names = others.select(_name(key, by_stem).alias("_key"))
+    return files.withColumn("_key", _name(key, by_stem)).join(names, "_key", "left_semi").drop("_key")
+
+
 def pair_by_name(gt: DataFrame, ocr: DataFrame, key: str = "file_name", by_stem: bool = False) -> DataFrame:
     """``(key, gt, ocr)`` of the files that both folders hold under one name, or one stem up to the first dot."""
-    name = F.regexp_replace(key, r"\..*$", "") if by_stem else F.col(key)
+    name = _name(key, by_stem)
     return _sided(gt.withColumn("_key", name), "gt", ("_key",)).join(_sided(ocr.withColumn("_key", name), "ocr", ("_key",)), "_key").withColumnRenamed("_key", key)
 
 
@@ -46,8 +57,9 @@ def suffix_of(files: DataFrame, key: str = "path") -> str:
     return found
 
 
-def pair_by_detected_suffix(gt: DataFrame, ocr: DataFrame, key: str = "rel_path") -> DataFrame:
-    return pair_by_suffix(gt, ocr, suffix_of(gt, key), suffix_of(ocr, key), key)
+def pair_by_detected_suffix(gt: DataFrame, ocr: DataFrame, key: str = "rel_path", strict: bool = True) -> DataFrame:
+    """Pairs by the longest endings that the names of each side share."""
+    return pair_by_suffix(gt, ocr, suffix_of(gt, key), suffix_of(ocr, key), key, strict)
 
 
 def pair_pages(files: DataFrame, gt_group: str, ocr_group: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from pyspark.sql import types as T
 from inkmeter.functions.distance import align, align_words, cer, rate, wer
 from inkmeter.operators import aggregate, pairing
 from inkmeter.sinks import html
-from inkmeter.sinks.files import report_json, write_file, write_rows
+from inkmeter.sinks.files import report_json, write_file, write_pieces, write_rows
 from inkmeter.sources.files import documents, read_files
 
 
@@ -80,17 +82,28 @@ def compare_dirs(spark: SparkSession, gt: str, ocr: str, report_prefix: str = "r
     """Compares files of equal name in two folders; returns the ``file_name`` of ground truth without a partner."""
     side = lambda path: read_files(spark, path, hidden=True)
     files = {s: side(path) for s, path in (("gt", gt), ("ocr", ocr))}
-    docs = {s: raise_errors(documents(f, textequiv_level, plain_encoding)) for s, f in files.items()}
+    # names meet first, so that a file without a partner is neither read nor able to fail
+    docs = {s: raise_errors(documents(pairing.with_partner(files[s], files[o], by_stem=by_stem), textequiv_level, plain_encoding)) for s, o in (("gt", "ocr"), ("ocr", "gt"))}
     pairs = pairing.pair_by_name(docs["gt"], docs["ocr"], by_stem=by_stem)
     compare_pairs(pairs, "file_name", reports_folder, f"-{report_prefix}", metrics, differences)
     return pairing.unpaired(files["gt"], files["ocr"]).select("file_name")
 
 
+def _line_page(measured: DataFrame, total, metrics: bool) -> Iterator[str]:
+    """The HTML of all pairs, piece by piece in the order of their names."""
+    yield html.head("Comparison of recognised lines")
+    yield html.rates(total.cer, total.wer, total.n_characters, total.n_words) if metrics else ""
+    for k, r in enumerate(measured.orderBy("name").toLocalIterator()):
+        for kind, a, spans in (("c", r.c_align, [html.spans_of((s.segment_id, s.text) for s in x) for x in (r.gt_segments, r.ocr_segments)]), ("w", r.w_align, [(), ()])):
+            yield html.pair_block(html.fragments([(x.gt, x.ocr) for x in a], f"l{k}-{kind}", kind, *spans), not metrics)
+    yield html.foot()
+
+
 def compare_line_dirs(spark: SparkSession, gt: str, ocr: str, report_prefix: str = "report", *, metrics: bool = True, gt_suffix: str | None = None, ocr_suffix: str | None = None,
                       plain_encoding: str = "autodetect", parity: bool = False) -> DataFrame:
     """Compares two trees of line files and writes one report for all; returns its one row of corpus rates.
 
-    The HTML is written pair by pair as partitions arrive, so the driver holds one partition at a time.
+    The HTML goes into its file pair by pair as partitions arrive, so the driver holds one partition at a time.
     """
     side = lambda path: read_files(spark, path, recursive=True)
     files = (side(gt), side(ocr))
@@ -106,11 +119,7 @@ def compare_line_dirs(spark: SparkSession, gt: str, ocr: str, report_prefix: str
         rates = spark.createDataFrame([total])
         js = rates.select(report_json(F.lit(gt), F.lit(ocr), F.col("cer"), F.col("wer"), F.col("n_characters"), F.col("n_words"), metrics=metrics)).first()[0]
         write_file(f"{report_prefix}.json", js)
-        parts = [html.head("Comparison of recognised lines"), html.rates(total.cer, total.wer, total.n_characters, total.n_words) if metrics else ""]
-        for k, r in enumerate(measured.orderBy("name").toLocalIterator()):
-            for kind, a, spans in (("c", r.c_align, [html.spans_of((s.segment_id, s.text) for s in x) for x in (r.gt_segments, r.ocr_segments)]), ("w", r.w_align, [(), ()])):
-                parts.append(html.pair_block(html.fragments([(x.gt, x.ocr) for x in a], f"l{k}-{kind}", kind, *spans), not metrics))
-        write_file(f"{report_prefix}.html", "".join([*parts, html.foot()]))
+        write_pieces(f"{report_prefix}.html", _line_page(measured, total, metrics))
         return rates
     finally:
         measured.unpersist()

@@ -19,7 +19,9 @@ from inkmeter.operators import layout as L
 from inkmeter.operators import pairing as P
 from inkmeter.plans.compare import measure, render
 from inkmeter.plans.summarize import summary as summary_of
+from inkmeter.sinks.files import write_rows
 from inkmeter.sources import files as R
+from inkmeter.sources.staging import read_table, scratch_path
 
 WORDS_PER_LINE = 12
 #: What the stand-in recogniser gets wrong: replaced, lost and doubled characters.
@@ -40,7 +42,7 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def noisy(text: Column, number: Column) -> Column:
@@ -170,10 +172,12 @@ def wer(spark, sf_dir):
     return lines(spark, sf_dir).select("doc_id", "line_no", D.wer("gt", "ocr").alias("m")).select("doc_id", "line_no", F.col("m.d").cast("long").alias("d"), F.col("m.n").cast("long").alias("n"), "m.rate")
 
 
-@query(f"WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), '') AS a, string_split({_noisy_sql(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')', 'doc_id')}, '') AS b FROM documents) SELECT doc_id, {_dist_sql('a', 'b')} AS d FROM d WHERE len(a) > 0 AND a <> ['']")
+@query(f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS x, {_noisy_sql("coalesce(text, '')", 'doc_id')} AS y FROM documents),
+d AS (SELECT doc_id, CASE WHEN x = '' THEN [] ELSE string_split(x, '') END AS a, CASE WHEN y = '' THEN [] ELSE string_split(y, '') END AS b FROM t) SELECT doc_id, {_dist_sql('a', 'b')} AS d FROM d""")
 def str_distance(spark, sf_dir):
-    """Character distance of whole texts, long ones by the bit-parallel kernel; empty texts are left out."""
-    docs = table(spark, sf_dir, "documents").filter("text <> ''").select("doc_id", F.col("text").alias("a"), noisy(F.col("text"), F.col("doc_id")).alias("b"))
+    """Character distance of whole texts, long ones by the bit-parallel kernel; a null text is empty."""
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.alias("a"), noisy(text, F.col("doc_id")).alias("b"))
     return docs.select("doc_id", D.str_distance("a", "b").cast("long").alias("d"))
 
 
@@ -240,10 +244,10 @@ def graphemes(spark, sf_dir):
     return rows.select("doc_id", "line_no", F.size("g").cast("long").alias("n"), F.array_join("g", "|").alias("parts"))
 
 
-@query(f"SELECT doc_id, len({_words_sql('text')})::BIGINT AS n, md5(array_to_string({_words_sql('text')}, '|')) AS digest FROM documents WHERE text IS NOT NULL")
+@query(f"SELECT doc_id, len({_words_sql('text')})::BIGINT AS n, md5(array_to_string({_words_sql('text')}, '|')) AS digest FROM documents")
 def words(spark, sf_dir):
-    """Words of whole texts."""
-    rows = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", U.words("text").alias("w"))
+    """Words of whole texts; a null text has neither a count nor a digest."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", U.words("text").alias("w"))
     return rows.select("doc_id", F.size("w").cast("long").alias("n"), F.md5(F.encode(F.array_join("w", "|"), "UTF-8")).alias("digest"))
 
 
@@ -292,9 +296,7 @@ def diff_counts_word(spark, sf_dir):
 @query()
 def diff_counts_corpus(spark, sf_dir):
     """Counted differences of every line of the corpus on both levels."""
-    measured = measure(lines(spark, sf_dir), "gt", "ocr", alignments=True)
-    rows = measured.select(F.inline(F.array(F.struct(F.lit("character_level").alias("level"), F.col("c_align").alias("a")), F.struct(F.lit("word_level").alias("level"), F.col("w_align").alias("a")))))
-    return X.count_differences(rows, "a", "level")
+    return X.count_text_differences(lines(spark, sf_dir))
 
 
 @query(f"""{_ALIGN_C},
@@ -396,6 +398,13 @@ def pair_by_stem(spark, sf_dir):
     return pairs.select("stem", F.col("gt.rel_path").alias("gt_path"), F.col("ocr.rel_path").alias("ocr_path"))
 
 
+@query(f"SELECT g.stem, g.rel_path AS gt_path, o.rel_path AS ocr_path FROM {_GT} g LEFT JOIN {_OCR} o USING (stem)")
+def pair_by_detected_suffix(spark, sf_dir):
+    """The same pairs without being told the suffixes."""
+    pairs = P.pair_by_detected_suffix(_listing(spark, sf_dir, "user", ".gt.txt"), _listing(spark, sf_dir, "assistant", ".ocr.txt"), strict=False)
+    return pairs.select("stem", F.col("gt.rel_path").alias("gt_path"), F.col("ocr.rel_path").alias("ocr_path"))
+
+
 @query(f"SELECT file_name FROM {_GT} g WHERE file_name NOT IN (SELECT file_name FROM {_OCR} o)")
 def pair_missing(spark, sf_dir):
     return P.unpaired(_listing(spark, sf_dir, "user", ".gt.txt"), _listing(spark, sf_dir, "assistant", ".ocr.txt")).select("file_name")
@@ -505,9 +514,44 @@ def plain_lines(spark, sf_dir):
     return R.plain_lines(files).select(F.col("path").alias("doc_id"), F.col("line_no").cast("long").alias("line_no"), "text")
 
 
+_STRIPPED = "regexp_replace(t, '^[ \\t\\n\\r\\f\\v]+|[ \\t\\n\\r\\f\\v]+$', '', 'g')"
+
+
+@query(f"""WITH l AS (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) AS n, len(l) AS m FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1)::BIGINT AS line_no, 'line ' || (n - 1) AS segment_id, {_sbb_sql(_STRIPPED)} AS text FROM l WHERE NOT (t = '' AND n = m)""")
+def plain_encoded(spark, sf_dir):
+    """Whole documents as plain text files of differing encodings, with and without byte-order marks, read back by detection."""
+    text, turn = F.coalesce("text", F.lit("")), F.col("doc_id") % 4
+    mark = F.unhex(F.lit("EFBBBF"))
+    utf8 = F.encode(text, "UTF-8")
+    narrow = ~text.rlike("[^\\x{0}-\\x{7e}\\x{a0}-\\x{ff}]")
+    content = F.when(turn == 1, F.concat(mark, utf8)).when((turn == 2) & narrow, F.encode(text, "ISO-8859-1")).when(turn == 3, F.encode(text, "UTF-16")).otherwise(utf8)
+    files = table(spark, sf_dir, "documents").select("doc_id", content.alias("content"))
+    return R.segments(R.documents(files), "doc_id").select("doc_id", F.col("seq").cast("long").alias("line_no"), "segment_id", "text")
+
+
 # ---------------------------------------------------------------- reports
 
 
+@query("""WITH r AS (SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN NULL WHEN (conv_id + turn) % 7 = 0 THEN NULL WHEN (conv_id + turn) % 11 = 0 THEN 'inf'::DOUBLE ELSE (conv_id % 100) / 128.0::DOUBLE END AS cer,
+ CASE WHEN conv_id % 3 > 0 THEN (turn % 64) / 64.0::DOUBLE END AS wer FROM conversations)
+SELECT conv_id, turn, cer, wer, cer IS NOT NULL AND wer IS NOT NULL AS valid, CASE WHEN turn % 2 = 0 THEN (turn + 1)::BIGINT END AS n_changed FROM r""")
+def report_scan(spark, sf_dir):
+    """Reports on disk, one of each turn: rates that are missing, null or infinite, and differences of some."""
+    c, t = F.col("conv_id"), F.col("turn")
+    number = lambda x: x.cast("double").cast("string")
+    rate = F.when((c + t) % 7 == 0, F.lit("null")).when((c + t) % 11 == 0, F.lit("Infinity")).otherwise(number((c % 100) / 128))
+    fields = F.array_compact(F.array(
+        F.lit('"gt": "a"'), F.when(t % 5 != 4, F.concat(F.lit('"cer": '), rate)), F.when(c % 3 > 0, F.concat(F.lit('"wer": '), number((t % 64) / 64))),
+        F.when(t % 2 == 0, F.concat(F.lit('"differences": {"character_level": {"a :: b": '), (t + 1).cast("string"), F.lit('}, "word_level": {}}')))))
+    folder = scratch_path(spark, "reports")
+    text = F.concat(F.lit("{"), F.array_join(fields, ", "), F.lit("}"))
+    write_rows(table(spark, sf_dir, "conversations").select(F.format_string(f"{folder}/%d_%d.json", c, t).alias("path"), text.alias("content")))
+    place = F.split(F.regexp_extract("path", r"([0-9]+_[0-9]+)\.json$", 1), "_")
+    found = R.read_reports(spark, folder).withColumn("valid", F.col("cer").isNotNull() & F.col("wer").isNotNull())
+    return found.select(F.get(place, F.lit(0)).cast("long").alias("conv_id"), F.get(place, F.lit(1)).cast("long").alias("turn"), "cer", "wer", "valid", F.col("differences.character_level")["a :: b"].alias("n_changed"))
+
+
 def _rendered(spark, sf_dir) -> DataFrame:
     segs = lambda c: F.transform(F.split(c, "\n", -1), lambda x, n: F.struct(F.concat(F.lit("line "), n.cast("string")).alias("segment_id"), x.alias("text")))
     rows = bench_measured(spark, sf_dir).select(
@@ -516,7 +560,21 @@ def _rendered(spark, sf_dir) -> DataFrame:
     return render(rows, differences=True)
 
 
-@query()
+def _report_sql() -> str:
+    """The JSON reports spelt in SQL: differences of a level in order of first occurrence."""
+    quote = lambda text: f"to_json({text})::VARCHAR"
+
+    def level(walk: str) -> str:
+        keys = f"SELECT item_id, coalesce(gt, 'None') || ' :: ' || coalesce(ocr, 'None') AS key, count(*) AS n, min(pos) AS first_pos FROM ({walk} SELECT item_id, pos, gt, ocr FROM aligned WHERE op <> 'match') GROUP BY ALL"
+        return f"SELECT item_id, string_agg({quote('key')} || ':' || n, ',' ORDER BY first_pos) AS m FROM ({keys}) GROUP BY item_id"
+
+    return f"""WITH {_BENCH}, r AS (SELECT item_id, n_characters, n_words, {_rate_sql('c_dist', 'n_characters')} AS cer, {_rate_sql('w_dist', 'n_words')} AS wer FROM measured)
+SELECT r.item_id, '{{"gt": "gt/' || r.item_id || '.txt", "ocr": "ocr/' || r.item_id || '.txt", "cer": ' || cer || ', "wer": ' || wer || ', "differences": {{"character_level":{{' || coalesce(c.m, '')
+ || '}},"word_level":{{' || coalesce(w.m, '') || '}}}}, "n_characters": ' || n_characters || ', "n_words": ' || n_words || '}}' AS json
+FROM r LEFT JOIN ({level(_ALIGN_C)}) c ON c.item_id = r.item_id LEFT JOIN ({level(_ALIGN_W)}) w ON w.item_id = r.item_id"""
+
+
+@query(_report_sql())
 def report_json(spark, sf_dir):
     return _rendered(spark, sf_dir).select(F.col("name").alias("item_id"), "json")
 
@@ -575,6 +633,24 @@ def summary_documents(spark, sf_dir):
     return summary_of(_document_reports(spark, sf_dir))
 
 
+@query()
+def threshold_diffs_documents(spark, sf_dir):
+    counts = X.count_text_differences(lines(spark, sf_dir))
+    kept = A.over_threshold(counts, 3).groupBy("level").agg(F.count("*").alias("kept"), F.sum("n").alias("occurrences"))
+    found = A.omitted(counts, 3).join(kept, "level", "left")
+    return found.select("level", F.coalesce("kept", F.lit(0)).alias("kept"), "omitted", F.coalesce("occurrences", F.lit(0)).alias("occurrences"))
+
+
+@query()
+def segment_id_at_pos_documents(spark, sf_dir):
+    """Differing clusters of every line with the word-group segment, four words each, that they lie in."""
+    found = X.alignment_rows(lines_measured(spark, sf_dir), "c_align", "doc_id", "line_no").withColumn("pos", F.col("pos").cast("long"))
+    four = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 4).cast("int")), lambda k: F.array_join(F.slice("w", k * 4 + 1, F.lit(4)), " "))
+    parts = lines(spark, sf_dir).select("doc_id", "line_no", F.split("gt", " ", -1).alias("w")).select("doc_id", "line_no", F.posexplode(four).alias("seq", "text"))
+    parts = parts.withColumn("segment_id", F.concat(F.lit("group "), F.col("seq").cast("string")))
+    return X.differences_in_segments(found, X.segment_spans(parts, "doc_id", "line_no"), "doc_id", "line_no")
+
+
 def _documents_rendered(spark, sf_dir) -> DataFrame:
     rows = documents_measured(spark, sf_dir).select(
         F.col("doc_id").alias("name"), F.format_string("gt/%d.txt", "doc_id").alias("gt_path"), F.format_string("ocr/%d.txt", "doc_id").alias("ocr_path"),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +25,7 @@ REPORT = T.StructType([
 
 
 def read_files(spark: SparkSession, path: str, recursive: bool = False, pattern: str | None = None, hidden: bool = False) -> DataFrame:
-    """``(path, rel_path, file_name, content)`` of the files at a path, a folder or a glob.
+    """``(path, rel_path, file_name, content)`` of the files at a path, a folder or a glob; an empty file has empty content.
 
     Names with a leading dot are left out unless ``hidden``; Spark itself passes over folders whose names
     start with a dot or an underscore.
@@ -34,7 +37,12 @@ def read_files(spark: SparkSession, path: str, recursive: bool = False, pattern:
     place = F.regexp_replace("path", r"^[a-z0-9]+:(//[^/]*)?(?=/)", "")
     name = F.element_at(F.split("path", "/"), -1)
     rel = F.when(place.startswith(base + "/"), F.substr(place, F.lit(len(base) + 2))).otherwise(name)
-    found = reader.load(path).select("path", rel.alias("rel_path"), name.alias("file_name"), "content")
+    found = reader.load(path).select("path", "content")
+    # the scan passes over files of no bytes, the listing has them; only names are compared
+    listed = [(re.sub(r"^(\w+):///(?!/)", r"\1:/", unquote(p)),) for p in found._jdf.inputFiles()]
+    names = spark.createDataFrame(listed, "path string")
+    empty = names.join(found.select("path"), "path", "left_anti").select("path", F.lit(b"").alias("content"))
+    found = found.unionByName(empty).select("path", rel.alias("rel_path"), name.alias("file_name"), "content")
     return found if hidden else found.filter(~is_hidden("file_name"))
 
 
