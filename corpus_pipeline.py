@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from inkmeter.llm import langid, mixing, packing, secrets, simhash
-from inkmeter.llm.common import load, stage
+from inkmeter.llm.common import stage
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 ids."""
-    return packing.pack(docs, packing.tokenizer_file(), cache_words=PACKING_CACHE_WORDS)
+    return packing.pack(docs, packing.tokenizer_file, cache_words=PACKING_CACHE_WORDS)
 
 
 #: Workers that have run the other stages have less room for remembered words.
@@ -49,7 +49,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")  # as the stages get it when they are run one by one
     for nth, (_, step) in enumerate(STAGES):
         docs = step(spark, docs, sf_dir)
         if nth < len(STAGES) - 1:

@@ -8,14 +8,14 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkmeter.sources.staging import read_table, scratch_path
+
 #: A staged side is broadcast only below both bounds; beyond them the join shuffles.
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 16 << 20
@@ -23,31 +23,6 @@ BROADCAST_BYTES = 16 << 20
 BATCH_ROWS = 1_000
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables.
-
-    Taken from ``spark.checkpoint.dir``. Where that is unset, a local session gets a fresh temporary
-    folder (and the setting is filled in); a cluster session raises, since a machine-local folder
-    would be invisible to the executors.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    root = "file://" + tempfile.mkdtemp(prefix="inkmeter-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder, removed when the application ends."""
-    path = f"{scratch_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return path
-
-
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
@@ -112,4 +87,4 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return read_table(spark, f"{sf_dir}/{table}.parquet")

@@ -16,7 +16,7 @@ import unicodedata
 import zlib
 from array import array
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -196,19 +196,20 @@ def pack_block(ids: list[bytes], is_stop: np.ndarray, most: int = MOST) -> list[
 _OUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
-def pack(docs: DataFrame, tokenizer_path: str, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS, cache_words: int = CACHE_WORDS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | Callable[[], str], most: int = MOST, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Pieces of every document in sequences of at most ``most`` ids.
 
     Returns ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``. Documents keep the order
     in which their partition is scanned; no row moves to another task. ``sequence_id`` holds the partition in
     its upper 31 bits. A null or empty text is the end id alone; repeated rows are packed each; null ids
-    stay null; an empty table gives no rows. ``cache_words`` trades a worker's memory for time; results are the same. Other columns are ignored.
+    stay null; an empty table gives no rows. ``tokenizer`` is the path of a vocabulary file, or a function that a worker
+    calls to find it on its own machine. ``cache_words`` trades a worker's memory for time; results are the same. Other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words = words_of(tokenizer_path)
+        words = words_of(tokenizer if isinstance(tokenizer, str) else tokenizer())
         words.most = cache_words
         end = np.array([END], "<u4").tobytes()
         first = TaskContext.get().partitionId() << 32
@@ -264,7 +265,7 @@ def tokenizer_file() -> str:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(load(spark, sf_dir, "documents"), tokenizer_file())
+    return pack(load(spark, sf_dir, "documents"), tokenizer_file)
 
 
 QUERIES = {"op7_packing": op7_packing}

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import load, stage, text_or_empty
+from .common import broadcast_if_small, load, stage, text_or_empty
 
 LAW = "bytes"
 
@@ -48,7 +48,7 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 24, overhead: int = 8, id_co
         F.sum("part_bytes").over(W.partitionBy(F.lit(0))).alias("total"),
     )
     start = F.col("base") + F.sum("size").over(within) - F.col("size")
-    placed = spread.join(F.broadcast(bases), "part").select(
+    placed = spread.join(broadcast_if_small(stage(bases, "shard-bases")), "part").select(
         "part", "order_key", "doc_id", "size", "text_crc32",
         F.least(F.floor(start.cast("decimal(38,0)") * n_shards / F.col("total")).cast("int"), F.lit(n_shards - 1)).alias("shard"),
     )
@@ -59,7 +59,7 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 24, overhead: int = 8, id_co
         "part", "shard",
         F.coalesce(F.sum("n").over(W.partitionBy("shard").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("first"),
     )
-    return ranked.join(F.broadcast(firsts), ["part", "shard"]).select(
+    return ranked.join(broadcast_if_small(stage(firsts, "shard-firsts")), ["part", "shard"]).select(
         "doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard",
         (F.col("first") + F.col("nth") - 1).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),

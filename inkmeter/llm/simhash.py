@@ -124,7 +124,7 @@ def links(fps: DataFrame, most: int = MOST_BITS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple[np.ndarray, ...]] = []
-        held = 0
+        held, full = 0, _ROWS
 
         def out(rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
             a, b = _link(*rows, most)
@@ -134,10 +134,11 @@ def links(fps: DataFrame, most: int = MOST_BITS) -> DataFrame:
             anchor = batch.column(0).to_numpy(zero_copy_only=False)
             kept.append((anchor, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64), batch.column(2).to_numpy(zero_copy_only=False)))
             held += len(anchor)
-            if held >= _ROWS:
+            if held >= full:
                 rows = tuple(np.concatenate(x) for x in zip(*kept, strict=True))
                 cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last anchor may go on
                 kept, held = [tuple(x[cut:] for x in rows)], len(rows[0]) - cut
+                full = max(_ROWS, 2 * held)  # a large anchor is copied a few times, not once a batch
                 if cut:
                     yield out(tuple(x[:cut] for x in rows))
         if held:

@@ -1,4 +1,6 @@
+import math
 import zlib
+from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
@@ -54,3 +56,61 @@ def test_codes_tell_all_classes_apart():
         for a in range(n):
             for b in range(a):
                 assert (code[a] != code[b]).sum() >= min(2, code.shape[1])
+
+
+def grams_of(text):
+    """Hashed counts of the folded text's byte 1-, 2- and 3-grams, gram by gram."""
+    octets = [c if c >= 128 or 97 <= c <= 122 else 32 for c in f" {text.lower()} ".encode(errors="replace")]
+    found = Counter()
+    for order in (1, 2, 3):
+        for i in range(len(octets) - order + 1):
+            gram = octets[i : i + order]
+            if gram[0] == 32 and (order == 1 or gram[1] == 32):
+                continue
+            code = order
+            for c in gram:
+                code = code * 257 + c
+            found[((code * 0x9E3779B1) >> 7) % langid.N_FEATURES] += 1
+    return found
+
+
+def test_codes_and_decoding_against_a_plain_version(spark, tiny):
+    """Counts, binary classifiers, margins and loss-weighted decoding of the whole table, recomputed one number at a time."""
+    df = spark.read.parquet(f"{tiny}/documents.parquet")
+    rows = [(r.doc_id, r.text, r.lang) for r in df.collect()]
+    model = langid.fit_on_training_rows(df)
+    counts = defaultdict(Counter)
+    for d, t, lang in rows:
+        if t is not None and lang is not None and zlib.crc32(str(d).encode()) % 4 != 2:
+            counts[lang].update(grams_of(t))
+    langs = sorted(counts)
+    assert langs == model.langs
+    n, size = len(langs), langid.N_FEATURES
+    bits = [[1] + [1 if c >> k & 1 else -1 for k in range(n - 1)] for c in range(2 ** (n - 1) - 1)]  # one row a bit
+    total = [sum(counts[x].values()) for x in langs]
+    share = [[(counts[x][f] + 0.5) / (total[i] + 0.5 * size) for f in range(size)] for i, x in enumerate(langs)]
+    weights = []
+    for bit in bits:
+        on, off = [i for i in range(n) if bit[i] > 0], [i for i in range(n) if bit[i] < 0]
+        weights.append([math.log(sum(share[i][f] for i in on) / len(on)) - math.log(sum(share[i][f] for i in off) / len(off)) for f in range(size)])
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(df, model).collect()}
+    for d, t, _ in rows:
+        if not any(map(str.isalpha, t or "")):
+            assert got[d] == ("und", 0.0)
+            continue
+        own = grams_of(t)
+        loss = [0.0] * n
+        for b, bit in enumerate(bits):
+            margin = sum(c * weights[b][f] for f, c in own.items()) / max(1, sum(own.values()))
+            z = max(-20.0, min(20.0, (margin - model.shift[b]) * model.scale[b]))
+            for i in range(n):
+                loss[i] += model.weight[b] * math.log1p(math.exp(-bit[i] * z))
+        order = sorted(range(n), key=lambda i: loss[i])
+        assert abs(got[d][1] - math.tanh(2 * (loss[order[1]] - loss[order[0]]))) < 1e-4
+        assert got[d][0] == langs[order[0]] or loss[order[1]] - loss[order[0]] < 1e-4
+
+
+def test_the_model_does_not_depend_on_the_layout(spark, tiny):
+    df = spark.read.parquet(f"{tiny}/documents.parquet")
+    one, two = (langid.fit_on_training_rows(x) for x in (df, df.orderBy("text").repartition(7)))
+    assert (one.shift == two.shift).all() and (one.scale == two.scale).all() and (one.weight == two.weight).all()

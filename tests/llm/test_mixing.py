@@ -1,10 +1,66 @@
 import math
+import re
 from collections import Counter, defaultdict
 
+import pytest
+
 from inkmeter.llm import mixing
 from tests.llm.helpers import awkward, docs
 
 
+def allocation(rows, budget_share, target_entropy, max_repeats):
+    """Per source: tokens, weight and the tokens to spend, by plain bisection on the exponent."""
+    totals = Counter()
+    for _, t, _, s in rows:
+        totals[s] += len(re.findall(r"\S+", t))
+    some, whole = {s: n for s, n in totals.items() if n}, sum(totals.values())
+
+    def weights(a):
+        w = {s: (n / whole) ** a for s, n in some.items()}
+        return {s: x / sum(w.values()) for s, x in w.items()}
+
+    def epochs(a):
+        w = weights(a)
+        e = [w[s] / n for s, n in some.items()]
+        return max(e) / min(e) if budget_share is None else max(e) * budget_share * whole
+
+    def least(value, target):
+        low, high = 0.0, 1.0
+        if value(low) <= target:
+            return low
+        for _ in range(80):
+            mid = (low + high) / 2
+            low, high = (low, mid) if value(mid) <= target else (mid, high)
+        return high
+
+    a = max(least(lambda x: entropy(weights(x).values()), target_entropy * math.log(len(some))), least(epochs, max_repeats))
+    w = weights(a)
+    budget = max(n / w[s] for s, n in some.items()) if budget_share is None else budget_share * whole
+    return totals, w, {s: w[s] * budget for s in some}
+
+
+@pytest.mark.parametrize("share", [1.0, 2.5, None])
+def test_the_driver_table_against_a_recomputed_allocation(spark, small, share):
+    table = spark.read.parquet(f"{small}/documents.parquet")
+    rows = [(r.doc_id, r.text or "", r.lang, r.source or "") for r in table.collect()]
+    out = mixing.op4_mixing(spark, small) if share == 1.0 else mixing.copies(table, budget_share=share).selectExpr("doc_id", "coalesce(source, '') AS source", "_tokens AS tokens", "_weight AS weight", "_copies AS copies")
+    got = out.collect()
+    assert sorted(r.doc_id for r in got) == sorted(d for d, *_ in rows)
+    own = {d: (len(re.findall(r"\S+", t)), s) for d, t, _, s in rows}
+    assert all((r.tokens, r.source) == own[r.doc_id] for r in got)
+    totals, weight, wanted = allocation(rows, share, mixing.TARGET_ENTROPY, mixing.MAX_REPEATS)
+    for source in totals:
+        mine = [r for r in got if r.source == source]
+        assert all(abs(r.weight - weight.get(source, 0.0)) < 1e-6 for r in mine)
+        spent, want = sum(r.tokens * r.copies for r in mine), wanted.get(source, 0.0)
+        low, high = min(r.copies for r in mine), max(r.copies for r in mine)
+        # whole epochs, and of the next one the documents that the rest of the budget holds: one more would exceed it
+        assert high - low <= 1 and low == max(1 if share is None else 0, math.floor(want / totals[source] + 1e-6))
+        assert spent <= max(want, totals[source] if share is None else 0) + 1e-3 * want + 1
+        left_out = [r.tokens for r in mine if r.copies == low]
+        assert high == low or want - spent <= max(left_out) + 1e-3 * want + 1
+
+
 def corpus(n=3000):
     return [(i, "w " * (1 + i % 17), "en", "hot" if i % 3 == 0 else f"s{int(math.sqrt(i % 400))}") for i in range(n)]
 
