@@ -38,7 +38,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 #: Workers that have run the other stages have less room for remembered words.
-PACKING_CACHE_WORDS = 100_000
+PACKING_CACHE_WORDS = 60_000
 
 STAGES = [
     ("language ID", identify_language), ("SimHash near-dedup", drop_near_duplicates), ("secret scans", mask_secrets),

@@ -36,6 +36,8 @@ ROUNDS = 2
 BLOCK = 2_048
 #: Buckets of parities, at least.
 LEAST_BITS = 1_024
+#: Sides up to this size are broadcast within the rounds.
+FEW_ROWS, FEW_BYTES = 20_000, 1 << 20
 _ROWS = 1 << 17
 
 
@@ -229,6 +231,11 @@ def _block_pairs(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(lean(lambda batches: _in_groups(batches, 3, out, 4 * BLOCK, 1 << 30)), "a long, b long").distinct()
 
 
+def _few(side: DataFrame, staged: DataFrame | None = None) -> DataFrame:
+    """Broadcast only what is very small: a broadcast stays in every executor's memory until the driver collects it, and there are many rounds."""
+    return broadcast_if_small(side, staged, rows=FEW_ROWS, size=FEW_BYTES)
+
+
 def _allowed(x: str, y: str) -> Column:
     """Whether sizes and places still allow similarity 0.8."""
     a, b = F.col(f"{x}.n"), F.col(f"{y}.n")
@@ -252,10 +259,10 @@ def _by_parities(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def join_labels(docs: DataFrame, texts: DataFrame, labels: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE) -> DataFrame:
     """``(key, label)`` with the labels of all texts joined that similarity 0.8 connects.
 
-    ``texts`` has one row a key with the ``doc_id`` and ``own`` of a row that holds it, ``n``, ``prefix`` and ``bits``,
-    ``labels`` a label each; both are staged.
+    ``texts`` has one row a key with the ``doc_id`` and ``own`` of a row that holds it, ``n``, ``prefix``, ``bits`` and a
+    first ``label``, which ``labels`` has as well; both are staged.
     """
-    met = stage(meetings(texts.filter("n > 0").select("key", "n", "prefix").join(broadcast_if_small(labels), "key")), "meetings")
+    met = stage(meetings(texts.filter("n > 0").select("key", "n", "prefix", "label")), "meetings")
     slim = texts.select("key", "n", "bits")
     slim = texts.select("key", "n", "bits")
     small, large = met.filter("b is not null").select("a", "b").distinct(), met.filter("b is null").select("h", F.col("a").alias("key"), "n", "pos")
@@ -272,14 +279,14 @@ def join_labels(docs: DataFrame, texts: DataFrame, labels: DataFrame, id_col: st
         if pairs.isEmpty():
             return labels
         sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
-        of = lambda c: broadcast_if_small(sets.select(F.col("key").alias(c), F.col("grams").alias(f"g{c}")), sets)
+        of = lambda c: _few(sets.select(F.col("key").alias(c), F.col("grams").alias(f"g{c}")), sets)
         met = pairs.join(of("a"), "a").join(of("b"), "b").filter("9L * size(array_intersect(ga, gb)) >= 4L * (size(ga) + size(gb))")
         roots = stage(components(met.select(F.col("la").alias("a"), F.col("lb").alias("b"))), "label-roots")
         drop_staged(sets)
-        return stage(labels.join(broadcast_if_small(roots), labels.label == roots.node, "left").select("key", F.coalesce("root", "label").alias("label")), "labels")
+        return stage(labels.join(_few(roots), labels.label == roots.node, "left").select("key", F.coalesce("root", "label").alias("label")), "labels")
 
     def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-        side = broadcast_if_small(labels)
+        side = _few(labels)
         for c in ("a", "b"):
             pairs = pairs.join(side.select(F.col("key").alias(c), F.col("label").alias(f"l{c}")), c)
         return stage(pairs.filter("la <> lb").select("a", "b", "la", "lb"), "apart")
@@ -296,13 +303,13 @@ def join_labels(docs: DataFrame, texts: DataFrame, labels: DataFrame, id_col: st
         return labels
     for nth in range(ROUNDS):
         # one centre a group, the same in all groups that hold it
-        rows = large.join(broadcast_if_small(labels), "key")
+        rows = large.join(_few(labels), "key")
         centre = rows.groupBy("h").agg(F.min(F.struct(F.xxhash64("key", F.lit(nth)).alias("o"), "key", "n", "pos", "label")).alias("c")).select("h", "c.*")
         centre = stage(centre, "group-centres")
         pairs = rows.alias("x").join(broadcast_if_small(centre).alias("y"), "h").filter((F.col("x.label") != F.col("y.label")) & _allowed("x", "y"))
         pairs = pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
         labels = linked(apart(_by_parities(pairs, slim), labels), labels)
-    rows = large.join(broadcast_if_small(labels), "key")
+    rows = large.join(_few(labels), "key")
     still = rows.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("h")
     rows = stage(rows.join(still, "h", "left_semi"), "still-apart")
     if rows.isEmpty():
@@ -319,10 +326,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     from .simhash import MOST_BITS, links
 
     rows = stage(described(docs, id_col, text_col, shingle), "shingles")
-    texts = stage(rows.dropDuplicates(["key"]).select("key", "own", "doc_id", "fp", "n", "prefix", "bits"), "distinct-texts")
-    roots = stage(components(links(texts.select("fp").distinct(), MOST_BITS if most is None else most)), "fingerprint-roots")
-    labels = stage(texts.join(broadcast_if_small(roots), texts.fp == roots.node, "left").select("key", F.coalesce("root", "fp").alias("label")), "labels")
+    roots = stage(components(links(rows.select("fp").distinct(), MOST_BITS if most is None else most)), "fingerprint-roots")
+    first = rows.groupBy("key").agg(F.min("fp").alias("fp"))  # words decide the fingerprint
+    labels = stage(first.join(_few(roots), first.fp == roots.node, "left").select("key", F.coalesce("root", "fp").alias("label")), "labels")
+    texts = stage(rows.dropDuplicates(["key"]).select("key", "own", "doc_id", "n", "prefix", "bits").join(labels, "key"), "distinct-texts")
     labels = join_labels(docs, texts, labels, id_col, text_col, shingle)
-    known = stage(rows.select("doc_id", "own", "key").join(broadcast_if_small(labels), "key"), "labelled")
+    known = stage(rows.select("doc_id", "own", "key").join(_few(labels), "key"), "labelled")
     lowest = known.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return stage(known.join(lowest, "label").select("doc_id", "own", "label", "component_id"), "near-copies")
