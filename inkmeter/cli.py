@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import json
 import os
 import sys
 
@@ -34,6 +35,8 @@ def _parser() -> argparse.ArgumentParser:
     w.add_argument("gt_group")
     w.add_argument("ocr_group")
     w.add_argument("out_group")
+    w.add_argument("--parameters", help="a JSON object of parameters, or a file that holds one; they go before the other options")
+    sub.add_parser("describe", help="print the parameters of the workspace evaluation as JSON")
     w.add_argument("--overwrite", action="store_true")
     w.add_argument("--missing", choices=("abort", "skip"), default="abort")
     for x in (c, d, w):
@@ -52,6 +55,11 @@ def main(argv: list[str] | None = None, spark=None) -> int:
 
         print(extract(a.input_file, textequiv_level=a.textequiv_level, plain_encoding=a.plain_encoding).text)
         return 0
+    if a.command == "describe":
+        from inkmeter.plans.workspace import DESCRIPTION
+
+        print(json.dumps(DESCRIPTION, indent=1))
+        return 0
     if spark is None:
         from pyspark.sql import SparkSession
 
@@ -74,7 +82,11 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         found = summarize.summarize(spark, a.reports_folder, a.occurrences_threshold)
         print("There are no reports" if found is None else found.select("num_reports", "cer_avg", "wer_avg", "cer_sum", "wer_sum").first().asDict())
     else:
-        workspace.evaluate(spark, a.mets, a.gt_group, a.ocr_group, a.out_group, metrics=a.metrics, textequiv_level=a.textequiv_level, plain_encoding=a.plain_encoding, missing=a.missing, overwrite=a.overwrite)
+        how = {"metrics": a.metrics, "textequiv_level": a.textequiv_level, "plain_encoding": a.plain_encoding}
+        if a.parameters:
+            text = a.parameters if a.parameters.lstrip().startswith("{") else open(a.parameters, encoding="utf-8").read()
+            how = workspace.parameters(json.loads(text))
+        workspace.evaluate(spark, a.mets, a.gt_group, a.ocr_group, a.out_group, **how, missing=a.missing, overwrite=a.overwrite)
     return 0
 
 

@@ -13,6 +13,18 @@ from inkmeter.sinks.files import open_fs
 from inkmeter.sources.files import documents, mets_files, read_files
 from inkmeter.sources.parse import split_name
 
+#: What a workflow engine needs to know of the workspace evaluation: its file groups and its parameters with their defaults.
+DESCRIPTION = {
+    "executable": "python -m inkmeter.cli workspace",
+    "description": "Compares two file groups of a workspace page by page and registers the reports as a third",
+    "input_file_groups": 2,
+    "output_file_groups": 1,
+    "parameters": {
+        "metrics": {"type": "boolean", "default": True, "description": "whether reports hold error rates"},
+        "textequiv_level": {"type": "string", "enum": ["region", "line"], "default": "region", "description": "the level of page files that texts are taken from"},
+        "plain_encoding": {"type": "string", "default": "autodetect", "description": "the encoding of plain text files"},
+    },
+}
 MIMETYPES = {"json": "application/json", "html": "text/html"}
 
 
@@ -50,6 +62,18 @@ def manifest(pairs: DataFrame, out_group: str) -> DataFrame:
         F.concat("base", F.lit("-"), F.upper("_k.kind")).alias("file_id"), "page_id", "_k.mimetype", F.concat(F.lit(f"{out_group}/"), "base", F.lit("."), "_k.kind").alias("href"))
 
 
+def parameters(given: dict) -> dict:
+    """``given`` completed by defaults; raises on a parameter that is unknown or of another type or value."""
+    known = DESCRIPTION["parameters"]
+    for name, value in given.items():
+        if name not in known:
+            raise ValueError(f"unknown parameter {name}")
+        of = {"boolean": bool, "string": str}[known[name]["type"]]
+        if not isinstance(value, of) or value not in known[name].get("enum", [value]):
+            raise ValueError(f"parameter {name} cannot be {value!r}")
+    return {name: given.get(name, p["default"]) for name, p in known.items()}
+
+
 def evaluate(spark: SparkSession, mets_path: str, gt_group: str, ocr_group: str, out_group: str, *, metrics: bool = True, textequiv_level: str = "region",
              plain_encoding: str = "autodetect", missing: str = "abort", overwrite: bool = False) -> DataFrame:
     """Compares two file groups and registers the reports; returns the manifest.

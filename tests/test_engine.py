@@ -6,7 +6,7 @@ import xml.etree.ElementTree as ET
 import pytest
 
 from inkmeter import api, cli
-from inkmeter.functions import kernels
+from inkmeter.functions import distance, kernels, unicode_text
 from inkmeter.plans import compare, registry, summarize, workspace
 from inkmeter.plans.oracle import same_rows
 from inkmeter.sources import files, parse
@@ -135,6 +135,13 @@ def test_workspace(spark, tmp_path):
     workspace.evaluate(spark, mets, "GT", "OCR", "EVAL", overwrite=True)
 
 
+def test_functions_in_sql(spark):
+    distance.register(spark)
+    unicode_text.register(spark)
+    row = spark.sql("SELECT seq_distance(array('a', 'b'), array('a', 'c', 'd')) AS d, seq_align(array('a'), array('b'))[0].ocr AS o, seq_editops(array('a'), array())[0].op AS e, nfc('u\u0308') AS c, unicode_words('a, b')[1] AS w").first()
+    assert tuple(row) == (2, "b", "delete", "ü", "b")
+
+
 def test_streamed_summary(spark, tmp_path):
     from inkmeter.streaming import summary as stream
 
@@ -144,5 +151,7 @@ def test_streamed_summary(spark, tmp_path):
         (folder / f"{i}.json").write_text(json.dumps({"cer": c, "wer": w, "differences": {"character_level": {"a :: b": 10}, "word_level": {}}}))
     reports = stream.stream_reports(spark, str(folder))
     stream.start(stream.running_rates(reports), "rates_now", str(tmp_path / "ck")).awaitTermination(60)
+    stream.start(stream.running_differences(reports), "differences_now", str(tmp_path / "ck2")).awaitTermination(60)
+    assert [tuple(r) for r in spark.table("differences_now").collect()] == [("character_level", "a :: b", 20)]
     row = spark.table("rates_now").first()
     assert row.num_reports == 2 and abs(row.cer_avg - 0.075) < 1e-9

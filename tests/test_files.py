@@ -61,12 +61,20 @@ def test_an_empty_page_in_a_workspace(spark, tmp_path):
         '<m:mets xmlns:m="http://www.loc.gov/METS/" xmlns:x="http://www.w3.org/1999/xlink"><m:fileSec>'
         + "".join(f'<m:fileGrp USE="{g}"><m:file ID="{g}1" MIMETYPE="text/plain"><m:FLocat x:href="{g}/1.txt"/></m:file></m:fileGrp>' for g in ("GT", "OCR"))
         + '</m:fileSec><m:structMap><m:div TYPE="physSequence"><m:div TYPE="page" ID="P1"><m:fptr FILEID="GT1"/><m:fptr FILEID="OCR1"/></m:div></m:div></m:structMap></m:mets>')
-    assert cli.main(["workspace", str(tmp_path / "mets.xml"), "GT", "OCR", "EVAL"], spark) == 0
+    assert cli.main(["workspace", str(tmp_path / "mets.xml"), "GT", "OCR", "EVAL", "--parameters", '{"textequiv_level": "line"}'], spark) == 0
     assert json.loads((tmp_path / "EVAL" / "EVAL_P1.json").read_text())["cer"] == 1.0
     with pytest.raises(ValueError):
         workspace.evaluate(spark, str(tmp_path / "mets.xml"), "GT", "OCR", "X", missing="guess")
 
 
+def test_parameters_of_the_workspace_evaluation(capsys):
+    assert cli.main(["describe"]) == 0 and set(json.loads(capsys.readouterr().out)["parameters"]) == {"metrics", "textequiv_level", "plain_encoding"}
+    assert workspace.parameters({"metrics": False}) == {"metrics": False, "textequiv_level": "region", "plain_encoding": "autodetect"}
+    for bad in ({"metrics": "no"}, {"textequiv_level": "page"}, {"level": 1}):
+        with pytest.raises(ValueError):
+            workspace.parameters(bad)
+
+
 def test_unpaired_files_are_not_read(spark, tmp_path):
     gt, ocr = sides(tmp_path, {"a.txt": "same", "only.txt": "x", "b.gt.txt": "stem"}, {"a.txt": "same", "bad.xml": "<html/>", "b.ocr.txt": "stem"})
     assert {r.file_name for r in compare.compare_dirs(spark, gt, ocr, "report", str(tmp_path / "out")).collect()} == {"only.txt", "b.gt.txt"}
