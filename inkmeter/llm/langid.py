@@ -165,15 +165,13 @@ def _guesser(spark: SparkSession, model: Model):
     """A column function from text to (language, score)."""
     model_of = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("struct<lang:string,score:double>")
-    def guess(texts):
-        import pandas as pd
-
+    def guess(texts: pa.Array) -> pa.Array:
         model = model_of.value
-        out = [model.predict(counts_of(t)) if has_letter(t) else (UNDETERMINED, 0.0) for t in texts]
-        return pd.DataFrame(out, columns=["lang", "score"])
+        out = [model.predict(counts_of(t)) if has_letter(t) else (UNDETERMINED, 0.0) for t in map(str, texts)]
+        return pa.StructArray.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.float64())], ["lang", "score"])
 
-    return guess
+    guess.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(guess, "struct<lang:string,score:double>")
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
