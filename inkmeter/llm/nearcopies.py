@@ -264,7 +264,6 @@ def join_labels(docs: DataFrame, texts: DataFrame, labels: DataFrame, id_col: st
     """
     met = stage(meetings(texts.filter("n > 0").select("key", "n", "prefix", "label")), "meetings")
     slim = texts.select("key", "n", "bits")
-    slim = texts.select("key", "n", "bits")
     small, large = met.filter("b is not null").select("a", "b").distinct(), met.filter("b is null").select("h", F.col("a").alias("key"), "n", "pos")
     text = text_or_empty(text_col)
     bodies = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
