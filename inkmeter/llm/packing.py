@@ -70,17 +70,18 @@ class Words:
         self.tokenizer.normalizer = self.no_normalizer if normal else self.normalizer
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: set[str]) -> None:
         """Takes words over from the older generation, or has them encoded; letters and the signs behind them apart."""
-        new = set(words).difference(self.known)
+        new = words.difference(self.known)
         if len(self.known) + 2 * len(new) > self.most:
             self.known, self.older = {}, self.known
-            new = set(words)
+            new = set(words)  # changed below
         if self.older:
             kept = {w: self.older[w] for w in new if w in self.older}
             self.known.update(kept)
             new.difference_update(kept)
-        ended = {w: core for w in new if len(core := w.rstrip(self._SIGNS)) < len(w) and core.isalpha()}
+        signs = self._SIGNS
+        ended = {w: core for w in new if w[-1] in signs and (core := w.rstrip(signs)).isalpha()}
         new.difference_update(ended)
         new.update(ended.values())
         new.update(w[len(core) :] for w, core in ended.items())
@@ -96,7 +97,7 @@ class Words:
             lowered = text.lower()  # may spell a special token that the text did not
             if self._PLAIN.fullmatch(text) and not any(s in lowered for s in self.special) and unicodedata.is_normalized("NFC", text):
                 out[at] = lowered.split()
-        self._learn([w for words in out if words is not None for w in words])
+        self._learn(set().union(*filter(None, out)))
         find, join = self.known.__getitem__, b"".join
         return [join(map(find, words)) if words is not None else self._encode([text])[0] for words, text in zip(out, texts, strict=True)]
 
