@@ -35,6 +35,8 @@ STRIDE = 256
 BLOCK_IDS = 1 << 18
 #: Characters whose words are looked up together.
 CHUNK_CHARS = 1 << 19
+#: Words that share one call's encoding, which costs more than its words.
+WORDS_PER_LINE = 64
 #: Words whose ids a worker remembers, at most, in each of two generations.
 CACHE_WORDS = 600_000
 
@@ -54,11 +56,15 @@ class Words:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, normalizers
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         # switched off for words that are in normal form already; one tokenizer a worker is enough
         self.normalizer, self.no_normalizer = self.tokenizer.normalizer, normalizers.Sequence([])
+        self.pre_tokenizer = self.tokenizer.pre_tokenizer
+        self.at_spaces = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends_word[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.most = CACHE_WORDS
         self.known: dict[str, bytes] = {}
@@ -70,6 +76,19 @@ class Words:
         self.tokenizer.normalizer = self.no_normalizer if normal else self.normalizer
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_letters(self, words: list[str]) -> Iterator[bytes]:
+        """The same for words of nothing but letters: each is one piece, whose last id alone ends a word, so many share one encoding."""
+        lines = [" ".join(words[at : at + WORDS_PER_LINE]) for at in range(0, len(words), WORDS_PER_LINE)]
+        self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = self.no_normalizer, self.at_spaces
+        encoded = self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)
+        self.tokenizer.pre_tokenizer = self.pre_tokenizer
+        for line in encoded:
+            ids = array("I", line.ids).tobytes()
+            start = 0
+            for end in ((np.flatnonzero(self.ends_word[np.frombuffer(ids, np.uint32)]) + 1) * 4).tolist():
+                yield ids[start:end]
+                start = end
+
     def _learn(self, words: set[str]) -> None:
         """Takes words over from the older generation, or has them encoded; letters and the signs behind them apart."""
         new = words.difference(self.known)
@@ -85,9 +104,12 @@ class Words:
         new.difference_update(ended)
         new.update(ended.values())
         new.update(w[len(core) :] for w, core in ended.items())
-        listed = list(new.difference(self.known))
+        new = new.difference(self.known)
+        letters = [w for w in new if w.isalpha()]
+        others = [w for w in new if not w.isalpha()]
         known = self.known
-        known.update(zip(listed, self._encode(listed, normal=True), strict=True))
+        known.update(zip(letters, self._encode_letters(letters), strict=True))
+        known.update(zip(others, self._encode(others, normal=True), strict=True))
         known.update({w: known[core] + known[w[len(core) :]] for w, core in ended.items()})
 
     def ids(self, texts: list[str]) -> list[bytes]:
