@@ -9,6 +9,7 @@ Before whole sets travel, parities decide most pairs: shingles fall into 2^k buc
 buckets differ in parity at d places differ by d shingles at least. Of the pairs that are left, one a text is
 compared first, then those that this has not linked. Where more than ``DIRECT`` texts meet, a few rounds link
 each to one centre; groups that are still apart are compared in blocks, by parities, in the tasks that hold them.
+Those tasks pass on a forest of what parities allow, never all pairs; what it connects meets once, with whole sets.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, drop_staged, lean, small_batches, stage, text_or_empty
-from .graph import components
+from .graph import components, forest
 from .simhash import SEED, bit_majority
 
 SHINGLE = 5
@@ -34,11 +35,15 @@ DIRECT = 8
 ROUNDS = 2
 #: Rows of a group that meet as one block.
 BLOCK = 2_048
+#: Shingles of texts that meet as one block, with their whole sets.
+SET_BLOCK = 1 << 19
 #: Buckets of parities, at least.
 LEAST_BITS = 1_024
 #: Sides up to this size are broadcast within the rounds.
 FEW_ROWS, FEW_BYTES = 20_000, 1 << 20
 _ROWS = 1 << 17
+#: Links that a task holds before it passes them on.
+_LINKS = 1 << 20
 
 
 def shingles(words: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
@@ -200,35 +205,110 @@ def meetings(texts: DataFrame) -> DataFrame:
     return dealt.mapInArrow(lean(lambda batches: _in_groups(batches, 1, out, _ROWS, DIRECT + 1)), "h long, a long, n long, pos long, b long")
 
 
+def _in_blocks(rows: DataFrame, group: str, amount: Column, most: int) -> DataFrame:
+    """``rows`` dealt and sorted by (group, x, y), so that every two blocks of a group meet in a task of their own.
+
+    ``amount`` over a group sets its number of blocks, of about ``most`` each; ``own`` is the block of a row.
+    """
+    sizes = broadcast_if_small(stage(rows.groupBy(group).agg(F.ceil(amount / most).cast("int").alias("blocks")), "group-sizes"))  # one row a group
+    own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    met = rows.join(sizes, group).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select(F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), *rows.columns, "own")
+    return met.repartition(group, "x", "y").sortWithinPartitions(group, "x", "y", "n", "key")
+
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """First rows of the groups of equal keys, and the number of rows."""
+    new = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.r_[np.flatnonzero(np.r_[True, new]), len(keys[0])]
+
+
 def _block_pairs(rows: DataFrame) -> DataFrame:
-    """``(a, b)`` of different labels that sizes, places and parities allow, from ``(h, key, n, pos, label, bits)``.
+    """``(a, b)`` that connect what pairs of different labels connect which sizes, places and parities allow.
 
-    A group of more than ``BLOCK`` rows is dealt to blocks, and every two of them meet in a task of their own, so
-    no task holds a whole group, and none sends on what parities rule out.
+    ``rows`` has ``h, key, n, pos, label, bits``. A group of more than ``BLOCK`` rows is dealt to blocks, so no task
+    holds a whole group. A pair meets at every shingle that both begin with, and copies in a group make pairs with
+    its square; a task passes on a forest, with fewer links than it has texts.
     """
 
-    def out(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    def out(table: pa.Table) -> Iterator[np.ndarray]:
         h, x, y, n, key, pos, label, own = (table.column(k).to_numpy() for k in range(8))
         full = table.column(8).to_pylist()
         few = np.stack([folded(v, LEAST_BITS // 8) for v in full])
-        size = np.diff(np.r_[np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]), len(h)])
-        found = set()
-        for i, j in _offsets(np.cumsum(size) - size, size, n):
-            hit = (label[i] != label[j]) & _close(n, pos, i, j) & ((x[i] == y[i]) | (own[i] != own[j]))
+        wide = np.array([len(v) for v in full]) > LEAST_BITS // 8
+        nodes, at = np.unique(key, return_inverse=True)
+        root, found = np.arange(len(nodes)), [np.empty((2, 0), np.int64)]
+        start = _starts(h, x, y)
+        for i, j in _offsets(start[:-1], np.diff(start), n):
+            hit = (label[i] != label[j]) & (root[at[i]] != root[at[j]]) & _close(n, pos, i, j) & ((x[i] == y[i]) | (own[i] != own[j]))
             i, j = i[hit], j[hit]
             hit = 9 * np.bitwise_count(few[i] ^ few[j]).sum(axis=1, dtype=np.int64) <= n[i] + n[j]
-            for u, v in zip(i[hit].tolist(), j[hit].tolist(), strict=True):
-                a, b = sorted((int(key[u]), int(key[v])))
-                if (a, b) not in found and may_be_alike(int(n[u]), full[u], int(n[v]), full[v]):
-                    found.add((a, b))
-        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+            i, j = i[hit], j[hit]
+            hit = ~(wide[i] & wide[j])  # the others have no more parities to compare
+            for k in np.flatnonzero(~hit).tolist():
+                hit[k] = may_be_alike(int(n[i[k]]), full[i[k]], int(n[j[k]]), full[j[k]])
+            tops, members = forest(root[at[i[hit]]], root[at[j[hit]]])
+            if len(members):
+                found.append(np.stack([nodes[tops], nodes[members]]))
+                step = np.arange(len(nodes))
+                step[members] = tops
+                root = step[root]
+        yield np.concatenate(found, axis=1)
 
-    sizes = broadcast_if_small(stage(rows.groupBy("h").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "group-sizes"))  # one row a group
-    own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    dealt = rows.join(sizes, "h").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "h", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "n", "key", "pos", "label", "own", "bits")
-    dealt = dealt.repartition("h", "x", "y").sortWithinPartitions("h", "x", "y", "n", "key")
-    return dealt.mapInArrow(lean(lambda batches: _in_groups(batches, 3, out, 4 * BLOCK, 1 << 30)), "a long, b long").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        links = np.empty((2, 0), np.int64)
+        for found in _in_groups(batches, 3, out, 4 * BLOCK, 1 << 30):
+            links = np.stack(forest(*np.concatenate([links, found], axis=1)))
+            if links.shape[1] > _LINKS:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in links], ["a", "b"])
+                links = links[:, :0]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in links], ["a", "b"])
+
+    dealt = _in_blocks(rows, "h", F.count("*"), BLOCK).select("h", "x", "y", "n", "key", "pos", "label", "own", "bits")
+    return dealt.mapInArrow(lean(run), "a long, b long").distinct()
+
+
+def _alike_labels(label: np.ndarray, own: np.ndarray | None, sets: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of labels that connect what pairs of ``sets`` (none empty, sizes ascend) at similarity 0.8 connect; with ``own``, pairs of two blocks."""
+    n = sets.value_lengths().to_numpy().astype(np.int64)
+    distinct, gram = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+    end = np.cumsum(n)
+    grams = [gram[e - k : e] for e, k in zip(end.tolist(), n.tolist(), strict=True)]
+    names, root = np.unique(label, return_inverse=True)
+    last = np.searchsorted(4 * n, 5 * n, "right")  # sizes beyond rule the similarity out
+    held, a, b = np.zeros(len(distinct), bool), [], []
+    for i in range(len(n)):
+        j = np.arange(i + 1, last[i])
+        j = j[root[j] != root[i]]
+        if own is not None:
+            j = j[own[j] != own[i]]
+        if not len(j):
+            continue
+        held[grams[i]] = True
+        both = np.add.reduceat(held[np.concatenate([grams[k] for k in j.tolist()])], np.cumsum(n[j]) - n[j], dtype=np.int64)
+        held[grams[i]] = False
+        for other in np.unique(root[j[9 * both >= 4 * (n[i] + n[j])]]):
+            a.append(root[i])
+            b.append(other)
+            root[root == other] = root[i]
+    return names[np.array(a, np.int64)], names[np.array(b, np.int64)]
+
+
+def _cluster_links(rows: DataFrame) -> DataFrame:
+    """``(a, b)``, links of labels that connect what pairs at similarity 0.8 within a cluster connect, from ``(cluster, key, label, n, grams)``.
+
+    A cluster of more than ``SET_BLOCK`` shingles is dealt to blocks.
+    """
+
+    def out(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        cluster, x, y, label, own = (table.column(k).to_numpy() for k in range(5))
+        sets, start = table.column(5).chunk(0), _starts(cluster, x, y).tolist()
+        for s, e in zip(start, start[1:], strict=False):
+            a, b = _alike_labels(label[s:e], own[s:e] if x[s] != y[s] else None, sets.slice(s, e - s))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    dealt = _in_blocks(rows, "cluster", F.sum("n"), SET_BLOCK).select("cluster", "x", "y", "label", "own", "grams")
+    return dealt.mapInArrow(lean(lambda batches: _in_groups(batches, 3, out, 1, 1 << 30)), "a long, b long")
 
 
 def _few(side: DataFrame, staged: DataFrame | None = None) -> DataFrame:
@@ -274,15 +354,19 @@ def join_labels(docs: DataFrame, texts: DataFrame, labels: DataFrame, id_col: st
         met = bodies.alias("d").join(rep, F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).filter(F.xxhash64("d.text") == F.col("w.own"))
         return stage(_sets(met.select("key", F.encode("d.text", "UTF-8").alias("t")).dropDuplicates(["key"]), "key", shingle), "candidate-sets")
 
+    def merged(links: DataFrame, labels: DataFrame) -> DataFrame:
+        roots = stage(components(links), "label-roots")
+        return stage(labels.join(_few(roots), labels.label == roots.node, "left").select("key", F.coalesce("root", "label").alias("label")), "labels")
+
     def linked(pairs: DataFrame, labels: DataFrame) -> DataFrame:
         if pairs.isEmpty():
             return labels
         sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
         of = lambda c: _few(sets.select(F.col("key").alias(c), F.col("grams").alias(f"g{c}")), sets)
         met = pairs.join(of("a"), "a").join(of("b"), "b").filter("9L * size(array_intersect(ga, gb)) >= 4L * (size(ga) + size(gb))")
-        roots = stage(components(met.select(F.col("la").alias("a"), F.col("lb").alias("b"))), "label-roots")
+        labels = merged(met.select(F.col("la").alias("a"), F.col("lb").alias("b")), labels)
         drop_staged(sets)
-        return stage(labels.join(_few(roots), labels.label == roots.node, "left").select("key", F.coalesce("root", "label").alias("label")), "labels")
+        return labels
 
     def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
         side = _few(labels)
@@ -313,7 +397,16 @@ def join_labels(docs: DataFrame, texts: DataFrame, labels: DataFrame, id_col: st
     rows = stage(rows.join(still, "h", "left_semi"), "still-apart")
     if rows.isEmpty():
         return labels
-    return joined(_block_pairs(rows.join(texts.select("key", "bits"), "key").select("h", "key", "n", "pos", "label", "bits")), labels)
+    roots = stage(components(_block_pairs(rows.join(texts.select("key", "bits"), "key").select("h", "key", "n", "pos", "label", "bits"))), "cluster-roots")
+    if roots.isEmpty():
+        return labels
+    heads = roots.select(F.col("root").alias("key"), F.col("root").alias("cluster")).distinct()
+    members = stage(roots.select(F.col("node").alias("key"), F.col("root").alias("cluster")).unionByName(heads), "clusters")
+    sets = sets_of(members.select("key"))
+    rows = sets.join(_few(members), "key").join(_few(labels), "key").select("cluster", "key", "label", F.size("grams").alias("n"), "grams")
+    labels = merged(_cluster_links(rows), labels)
+    drop_staged(sets)
+    return labels
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, most: int | None = None) -> DataFrame:

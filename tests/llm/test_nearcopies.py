@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 
-from inkmeter.llm import nearcopies, simhash
+from inkmeter.llm import graph, nearcopies, simhash
 from tests.llm.helpers import docs
 
 
@@ -102,3 +102,36 @@ def test_blocks_of_a_large_group_meet(spark, monkeypatch):
     monkeypatch.setattr(nearcopies, "BLOCK", 8)
     monkeypatch.setattr(nearcopies, "ROUNDS", 0)
     assert sorted(r.doc_id for r in simhash.keep_one(docs(spark, rows), most=0).collect()) == want
+
+
+def test_blocks_pass_on_fewer_links_than_texts_meet(spark):
+    rnd = random.Random(5)
+    bits = nearcopies.parities(np.array(sorted(rnd.getrandbits(64) for _ in range(100)), np.uint64))
+    rows = [(h, key, 100, 0, key, bytearray(bits)) for h in range(20) for key in range(200)]
+    met = spark.createDataFrame(rows, "h long, key long, n long, pos long, label long, bits binary")
+    pairs = nearcopies._block_pairs(met)
+    assert pairs.count() <= 199 * 4  # tasks; every pair would be 19,900
+    roots = graph.components(pairs).collect()
+    assert len(roots) == 199 and {r.root for r in roots} == {0}
+
+
+def borderline():
+    """Families whose pairs lie closely on both sides of 0.8, so that parities leave most of them."""
+    rnd = random.Random(9)
+    texts = []
+    for n in (300, 300, 400, 1500):
+        base = [f"w{rnd.randrange(5000)}" for _ in range(n)]
+        texts += [edited(rnd, base, n // rnd.choice((80, 70, 60))) for _ in range(40)]
+    rnd.shuffle(texts)
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+def test_blocks_of_a_large_cluster_meet(spark, monkeypatch):
+    rows = borderline()
+    want = kept(rows)
+    assert 40 < len(want) < len(rows) - 40
+    monkeypatch.setattr(nearcopies, "ROUNDS", 0)
+    for block, sets in ((8, 2_000), (nearcopies.BLOCK, nearcopies.SET_BLOCK)):
+        monkeypatch.setattr(nearcopies, "BLOCK", block)
+        monkeypatch.setattr(nearcopies, "SET_BLOCK", sets)
+        assert sorted(r.doc_id for r in simhash.keep_one(docs(spark, rows), most=0).collect()) == want
